@@ -9,13 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows of few, short columns.
 BROADCAST_ROWS = 500_000
-#: Salts that a key's rows are dealt over when the small side is too large to broadcast.
-SALTS = 16
 #: Python works through a batch in pieces of about so many bytes of text.
 PIECE_BYTES = 4 << 20
 
@@ -104,26 +102,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality of the keys in which a null equals a null."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
-def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` left-joined with ``table``, which has a key once at most and was written before.
 
-    A table of up to ``most`` rows is broadcast.  A larger one is repeated for
-    each of ``SALTS`` salts and ``rows`` are salted by ``spread``, so that a key
-    with a third of all rows is dealt over as many tasks.
+    A table of up to ``most`` rows (or of ``size``, where rows have lists) is
+    broadcast.  A larger one is joined by a shuffle, whose hot keys adaptive
+    execution splits: a key occurs once in ``table``, so the part of ``rows`` that
+    a task gets can be cut at will.  A null key equals a null.
     """
     values = [c for c in table.columns if c not in keys]
-    if table.count() <= most:
-        small, cond = F.broadcast(table), list(keys)
-    else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-        small, cond = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), [*keys, "_salt"]
-    out = rows.alias("l").join(small.alias("r"), reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in cond)), "left")
-    return out.select(*(F.col(f"l.{c}") for c in rows.columns if c != "_salt"), *(F.col(f"r.{c}") for c in values))
+    small = F.broadcast(table) if (table.count() if size is None else size) <= most else table
+    match = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return rows.alias("l").join(small.alias("r"), match, "left").select("l.*", *(F.col(f"r.{c}") for c in values))
 
 
 def unique_keyed(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star steps: every node's edges are turned
 towards its smallest neighbour until each component is a star around its smallest
-node.  Minima are combined before the shuffle, edges of a hub are salted by
+node.  Minima are combined before the shuffle, edges of a hub are split by
 ``lookup``, each round is written to the shared folder, and only a count and a
 checksum per round reach the driver.
 """
@@ -38,10 +38,10 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{tag}_lm")
-    return scratch.write(lookup(both, least, ["u"], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}_l")
+    return scratch.write(lookup(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}_l")
 
 
 def _small_star(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")), f"{tag}_sm")
-    rest = lookup(edges, least, ["u"], F.col("v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = lookup(edges, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -98,7 +98,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     filled = rows.filter("n_words > 0")
     names, at = list(RULES), [0.25, 0.5, 0.75]
     cuts = scratch.write(_cutoffs(filled, names, at, growth, least, fence), "cutoffs")
-    out = lookup(rows, cuts, ["lang", "source"], F.col("doc_id"))
+    out = lookup(rows, cuts, ["lang", "source"])
     passes = F.lit(True)
     for name, (_, _, sides) in RULES.items():
         passes &= F.coalesce(F.col(name) <= F.col(f"{name}_most"), F.lit(True))

@@ -126,7 +126,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 81
     large = scratch.write(rows.groupBy("table", "key").count().filter(F.col("count") > bucket).select("table", "key", F.lit(True).alias("large")), "large_buckets")
     if not large.isEmpty():
         second = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius, 1)))
-        rows = lookup(rows, large, ["table", "key"], F.col("fp"))
+        rows = lookup(rows, large, ["table", "key"])
         again = rows.filter("large").select((F.col("table")).alias("table"), "key", "fp", F.posexplode(second).alias("k", "sub")).select((F.col("table") + 1000 * (F.col("k") + 1)).alias("table"), "key", "sub", "fp")
         rows = rows.filter("large is null").drop("large").unionByName(again)
     dealt = rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub")
@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = scratch.write(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id bigint, fp bigint"), "fingerprints")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = scratch.write(components(links(prints.select("fp"), scratch, radius, bucket), scratch).select(F.col("node").alias("fp"), "root"), "roots")
-    many = scratch.write(lookup(prints, roots, ["fp"], F.col("fp")).filter("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root")), "grouped")
+    many = scratch.write(lookup(prints, roots, ["fp"]).filter("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root")), "grouped")
     ids = scratch.write(many.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    of = scratch.write(lookup(many, ids, ["root"], F.col("fp")).select("fp", "component_id"), "of")
-    out = lookup(rows, of, ["fp"], F.col("doc_id"))
+    of = scratch.write(lookup(many, ids, ["root"]).select("fp", "component_id"), "of")
+    out = lookup(rows, of, ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
