@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockprism.llm.decontaminate import contamination
+from blockprism.llm.language import held_out, languages
 from blockprism.llm.quality import quality
+from blockprism.llm.secrets import BASE, EXTRA, scan, written
 from blockprism.llm.simhash import near_duplicates
+from blockprism.llm.substring import without_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +25,30 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = BASE + EXTRA
+    found = scan(table(spark, sf_dir, "documents"), rules)
+    def count(rank: int):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("bigint")
+
+    counts = [count(k).alias(f"n_{rule.kind}") for k, rule in enumerate(BASE)]
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    return found.select("doc_id", *counts, F.sha2(written(base, rules).cast("binary"), 256).alias("base_sha256"), written(F.col("spans"), rules).alias("spans"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages(docs.select("doc_id", "text"), docs.filter(~held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op6_secrets, op7_language, op8_substring, op9_decontaminate)}

@@ -131,7 +131,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, *, id_col: str
         there = F.filter(F.array(*(F.when(lowered.contains(g), F.lit(k)) for k, g in enumerate(grams))), lambda x: x.isNotNull())
         postings = scratch.write(rows.select("doc_id", "text_hash", F.explode(there).alias("gram")), "postings")
         sets = [(k, s) for k, found in plan.items() for s in found]
-        words = [F.bit_or(F.when((F.col("gram") >= 62 * w) & (F.col("gram") < 62 * (w + 1)), F.shiftleft(F.lit(1).cast("bigint"), F.col("gram") % 62)).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(-(-len(grams) // 62))]
+        words = [F.expr(f"bit_or(case when gram div 62 = {w} then shiftleft(1L, cast(gram % 62 as int)) else 0L end)").alias(f"w{w}") for w in range(-(-len(grams) // 62))]
         lists = postings.groupBy("doc_id", "text_hash").agg(*words)
 
         def complete(s: frozenset[str]) -> Column:
