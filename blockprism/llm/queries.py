@@ -11,6 +11,7 @@ from blockprism.llm.quality import quality
 from blockprism.llm.secrets import BASE, EXTRA, scan, written
 from blockprism.llm.simhash import near_duplicates
 from blockprism.llm.substring import without_repeats
+from blockprism.llm.urls import url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,4 +52,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op6_secrets, op7_language, op8_substring, op9_decontaminate)}
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op6_secrets, op7_language, op8_substring, op9_decontaminate, op10_urls)}
