@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockprism.llm.common import lookup
 from blockprism.llm.decontaminate import contamination
 from blockprism.llm.language import held_out, languages
+from blockprism.llm.lm_score import cross_entropy_difference
+from blockprism.llm.packing import pack
 from blockprism.llm.quality import quality
 from blockprism.llm.secrets import BASE, EXTRA, scan, written
 from blockprism.llm.simhash import near_duplicates
@@ -14,6 +17,12 @@ from blockprism.llm.substring import without_repeats
 from blockprism.llm.urls import url_verdicts
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,10 +31,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus are the documents that are labelled good, the background are all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    return cross_entropy_difference(docs, lookup(docs, good, ["doc_id"]).filter("good"), docs)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = BASE + EXTRA
     found = scan(table(spark, sf_dir, "documents"), rules)
@@ -56,4 +76,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality, op6_secrets, op7_language, op8_substring, op9_decontaminate, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op5_lm_score, op6_secrets, op7_language, op8_substring, op9_decontaminate, op10_urls)}
