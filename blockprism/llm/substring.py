@@ -43,6 +43,8 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 #: Lists of runs or spans of up to so many elements in all are broadcast, larger ones join by a shuffle.
 _LISTED = 2_000_000
+#: Tables of anchors grow with the corpus: beyond so many rows they join by a shuffle.
+_ANCHORS = 20_000
 _PIECE = 1 << 20
 
 
@@ -208,15 +210,15 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = unique_keyed(docs, scratch, id_col, text_col)
     runs = scratch.write(rows.select("row_key", "text").mapInArrow(_runs(window, seed), "row_key bigint, first int, last int, anchor bigint, span bigint"), "runs")
     shared = scratch.write(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("shared")), "shared")
-    seeds = scratch.write(lookup(runs, shared, ["anchor"]).filter("shared").drop("shared"), "seeds")
+    seeds = scratch.write(lookup(runs, shared, ["anchor"], most=_ANCHORS).filter("shared").drop("shared"), "seeds")
     scratch.drop("runs")
     classes = scratch.write(seeds.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "last")).alias("one")), "classes")
     whole = scratch.write(classes.filter("n > 1").select("anchor", "span", F.lit(True).alias("whole")), "whole")
-    spans = scratch.write(lookup(seeds, whole, ["anchor", "span"]).filter("whole").select("row_key", "first", "last"), "whole_spans")
+    spans = scratch.write(lookup(seeds, whole, ["anchor", "span"], most=_ANCHORS).filter("whole").select("row_key", "first", "last"), "whole_spans")
     scratch.drop("seeds")
 
     partly = scratch.write(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("alone")).filter("k > 1 and alone > 0").select("anchor", F.ceil(F.col("k") / split).cast("bigint").alias("parts")), "partly")
-    chosen = lookup(classes, partly, ["anchor"]).filter("parts is not null").select("one.*", "anchor", "parts", (F.col("n") == 1).alias("alone"))
+    chosen = lookup(classes, partly, ["anchor"], most=_ANCHORS).filter("parts is not null").select("one.*", "anchor", "parts", (F.col("n") == 1).alias("alone"))
     lists = scratch.write(_listed(chosen, ["first", "last", "anchor", "parts", "alone"], "runs"), "lists")
     n = lists.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     some = lookup(rows.select("row_key", "text"), lists, ["row_key"], size=n, most=_LISTED).filter("runs is not null")
