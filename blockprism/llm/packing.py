@@ -215,7 +215,7 @@ def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
     return {r[key]: r["n"] for r in rows.groupBy(key).agg(F.count("*").alias("n")).collect()}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 256, small: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 1024, small: int = 64) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for each piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
