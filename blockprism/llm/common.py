@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it has at most so many rows of few, short columns.
 BROADCAST_ROWS = 500_000
@@ -102,6 +103,17 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def with_kept(docs: DataFrame, keep: Sequence[str], *columns) -> DataFrame:
+    """The columns, and ``keep`` of the documents in one struct ``kept``, so that no names clash."""
+    return docs.select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))
+
+
+def schema_of(ddl: str, rows: DataFrame) -> T.StructType:
+    """The schema written in ``ddl``, and the column ``kept`` if the rows have it."""
+    schema = T._parse_datatype_string(ddl)
+    return T.StructType([*schema.fields, *(f for f in rows.schema.fields if f.name == "kept")])
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows`` left-joined with ``table``, which has a key once at most and was written before.
 

@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import Scratch, as_bytes, pieces
+from blockprism.llm.common import Scratch, as_bytes, pieces, schema_of, with_kept
 
 #: Separators become spaces and A-Z lower case: the words are then what split() finds.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -86,8 +86,9 @@ def _scan(items: list[tuple[str, bytes]], window: int, last: bool):
         found_by = searchers(items, window)
         for batch in pieces(batches, 1):
             n_words, n_hit, n_items, digests, all_spans, all_items = [], [], [], [], [], []
-            known = batch.num_columns > 2
-            earlier = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if known else (([], []) for _ in range(batch.num_rows))
+            names = batch.schema.names
+            earlier = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in names else (([], []) for _ in range(batch.num_rows))
+            kept = [batch.column("kept")] if "kept" in names else []
             for text, (spans, ids) in zip(as_bytes(batch.column(1)), earlier, strict=True):
                 words, spans, ids = words_of(text), list(spans), set(ids)
                 for search in found_by:
@@ -106,27 +107,28 @@ def _scan(items: list[tuple[str, bytes]], window: int, last: bool):
                     all_spans.append(spans)
                     all_items.append(sorted(ids))
             if last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), *kept], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["kept"][: len(kept)]])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), *kept], names=["doc_id", "text", "spans", "items", *["kept"][: len(kept)]])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, keep: Sequence[str] = ()) -> DataFrame:
     """Per document: words, words inside an occurrence of a benchmark window, items that occur.
 
     ``items_sha256`` is over the ids of the occurring items, sorted as strings.
+    With ``keep`` there is a struct ``kept`` of those columns.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     scratch = Scratch(docs.sparkSession) if blocks > 1 else None
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = with_kept(docs, keep, F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         run = _scan([(r["item"], bytes(r["text"])) for r in own.toLocalIterator()], window, k == blocks - 1)
-        rows = rows.mapInArrow(run, _RESULT if k == blocks - 1 else _PASS)
+        rows = rows.mapInArrow(run, schema_of(_RESULT if k == blocks - 1 else _PASS, rows))
         if k < blocks - 1:
             rows = scratch.write(rows, f"pass{k}")
     return rows

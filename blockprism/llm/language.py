@@ -21,7 +21,7 @@ never trained on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockprism.llm.common import as_bytes, flat, pieces
+from blockprism.llm.common import as_bytes, flat, pieces, schema_of, with_kept
 
 ORDER = 3
 #: Positions scored at a time, which bounds memory for texts of any length.
@@ -155,7 +155,8 @@ def _predict(model):
                 scores = np.where(letters, 1 / np.exp2(-np.minimum(lengths - least[:, None], 1000)).sum(1), 0.0)
                 langs = [contexts.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 bits = np.where(letters, least / np.maximum(np.diff(offsets), 1), np.nan)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "bits_per_byte", *batch.schema.names[3:]])
 
     return run
 
@@ -165,9 +166,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def languages(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, symbols: int = 127, contexts: int = 8192) -> DataFrame:
-    """``(doc_id, lang_pred, score, bits_per_byte)``; the score is the best language's share if all are as likely before."""
+def languages(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, symbols: int = 127, contexts: int = 8192, keep: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, lang_pred, score, bits_per_byte)``, and with ``keep`` a struct ``kept`` of those columns.
+
+    The score is the best language's share if all are as likely before.
+    """
     rows = labelled.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows.filter("doc_id is not null and text is not null and lang is not null"), sample, symbols, contexts))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
-    return texts.mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double, bits_per_byte double")
+    texts = with_kept(docs, keep, F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    return texts.mapInArrow(_predict(model), schema_of("doc_id bigint, lang_pred string, score double, bits_per_byte double", texts))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockprism.llm.common import lookup
 from blockprism.llm.decontaminate import contamination
+from blockprism.llm.id_files import round_trip
 from blockprism.llm.language import held_out, languages
 from blockprism.llm.lm_score import cross_entropy_difference
 from blockprism.llm.packing import pack
@@ -39,6 +40,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target corpus are the documents that are labelled good, the background are all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,4 +81,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op5_lm_score, op6_secrets, op7_language, op8_substring, op9_decontaminate, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_quality, op4_token_ids, op5_lm_score, op6_secrets, op7_language, op8_substring, op9_decontaminate, op10_urls)}

@@ -22,6 +22,7 @@ by id and text hash, so repeated ids and null ids are each scanned for themselve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 from re import _constants, _parser
@@ -29,7 +30,7 @@ from re import _constants, _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import Scratch, lookup
+from blockprism.llm.common import Scratch, lookup, with_kept
 
 
 @dataclass(frozen=True)
@@ -118,11 +119,14 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.size(F.filter(sizes, lambda n: n >= rule.least)) > 0, F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, spans)`` with ``spans`` an array of ``(start, rank, end)``, ``rank`` the rule's place in ``rules``."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, text, spans)`` with ``spans`` an array of ``(start, rank, end)``, ``rank`` the rule's place in ``rules``.
+
+    With ``keep`` there is a struct ``kept`` of those columns.
+    """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = with_kept(docs, keep, F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     plan = {k: trigram_query(rule.pattern) for k, rule in enumerate(rules)}
     grams = sorted(set().union(*(s for sets in plan.values() for s in sets)))
     out = rows
@@ -155,7 +159,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, *, id_col: str
         out = lookup(rows, candidates, ["doc_id", "text_hash"])
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     each = [_spans(F.col("text"), rule, k) if not plan[k] else F.when(F.coalesce(F.col("candidate"), F.lit(0)).bitwiseAND(1 << k) > 0, _spans(F.col("text"), rule, k)).otherwise(none) for k, rule in enumerate(rules)]
-    return out.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    return out.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"), *(["kept"] if keep else []))
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
