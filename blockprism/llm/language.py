@@ -155,7 +155,7 @@ def _predict(model):
                 scores = np.where(letters, 1 / np.exp2(-np.minimum(lengths - least[:, None], 1000)).sum(1), 0.0)
                 langs = [contexts.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 bits = np.where(letters, least / np.maximum(np.diff(offsets), 1), np.nan)
-            columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), *batch.columns[3:]]
+            columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64(), mask=np.isnan(bits)), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "bits_per_byte", *batch.schema.names[3:]])
 
     return run

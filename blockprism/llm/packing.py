@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockprism.llm.common import Scratch, lookup, pieces
-from blockprism.llm.token_ids import Encoder
+from blockprism.llm.token_ids import encoder
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Rows of a length that are ranked in one task, about.
@@ -45,9 +45,9 @@ _RANKED = 100_000
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in pieces(batches, 1):
-            ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+        tokens = encoder(tokenizer)
+        for batch in pieces(batches, 1, 2 << 20):
+            ids, sizes = tokens.encode(batch.column(1))
             out: list[tuple] = []
             at = 0
             for doc, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):

@@ -35,12 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockprism.llm.common import Scratch, as_bytes, flat, lookup, pieces, unique_keyed
+from blockprism.llm.rolling import BYTE, Rolling
 
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)  # a fixed seed: all executors draw alike
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: An odd number and its inverse modulo 2^64, for rolling hashes over bytes, grams and windows.
-_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 #: Lists of runs or spans of up to so many elements in all are broadcast, larger ones join by a shuffle.
 _LISTED = 2_000_000
 #: Tables of anchors grow with the corpus: beyond so many rows they join by a shuffle.
@@ -48,27 +46,6 @@ _ANCHORS = 20_000
 _PIECE = 1 << 20
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Rolling:
-    """Hashes of slices of a sequence, from a running sum of values times powers."""
-
-    def __init__(self, values: np.ndarray, base: int):
-        powers = np.full(len(values) + 1, _BASES[base][0], np.uint64)
-        powers[0] = 1
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(powers)[:-1], dtype=np.uint64)])
-        inverse = np.full(len(values) + 1, _BASES[base][1], np.uint64)
-        inverse[0] = 1
-        self.inverse = np.cumprod(inverse)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of the texts, and how many words come before each text (and in all)."""
     if not len(data):
@@ -79,7 +56,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     before[edges], after[edges - 1] = True, True
     starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-    return Rolling(_BYTE[data], 0).of(starts, ends), np.searchsorted(starts, offsets, "left")
+    return Rolling(BYTE[data], 0).of(starts, ends), np.searchsorted(starts, offsets, "left")
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Words, and their parts, whose ids a worker keeps at most.
-_WORDS, _PARTS = 300_000, 600_000
+from blockprism.llm.common import flat
+from blockprism.llm.rolling import BYTE, Rolling
+
+#: Words, and their parts, whose ids a worker keeps at most (a few more while a batch lasts).
+_WORDS, _PARTS = 1_000_000, 300_000
 #: New parts that are encoded as one text.
 _JOINED = 512
 
@@ -29,6 +35,47 @@ class _Places(dict):
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
 
+class _Table:
+    """Places of 64-bit hashes, by open addressing; all steps work on arrays of hashes."""
+
+    def __init__(self, bits: int = 16):
+        self.mask, self.used = np.int64((1 << bits) - 1), 0
+        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for those that are not there."""
+        at = hashes.view(np.int64) & self.mask
+        out = self.places[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        at = at[open_]
+        while len(open_):
+            at = at + 1 & self.mask
+            found = self.places[at]
+            wrong = (found >= 0) & (self.keys[at] != hashes[open_])
+            out[open_] = found
+            open_, at = open_[wrong], at[wrong]
+        return out
+
+    def add(self, hashes: np.ndarray, first: int) -> None:
+        """Distinct hashes that are not there get the places from ``first`` on."""
+        if 2 * (self.used + len(hashes)) > len(self.keys):
+            old = np.flatnonzero(self.places >= 0)
+            keys, places = self.keys[old], self.places[old]
+            self.__init__(int(2 * (len(old) + len(hashes))).bit_length())
+            self._put(keys, places)
+        self._put(hashes, np.arange(first, first + len(hashes), dtype=np.int32))
+
+    def _put(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        self.used += len(hashes)
+        at = hashes.view(np.int64) & self.mask
+        while len(hashes):
+            free = self.places[at] < 0
+            self.places[at[free]] = places[free]
+            won = self.places[at] == places  # of several for one slot the last
+            self.keys[at[won]] = hashes[won]
+            hashes, places, at = hashes[~won], places[~won], at[~won] + 1 & self.mask
+
+
 class _Lists:
     """Lists of ids, one behind another; an odd one stands for what has to be encoded in its context."""
 
@@ -46,18 +93,24 @@ class _Lists:
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + counts, counts)], counts
 
 
-def _common(part: str) -> bool:
-    """Whether all libraries agree on which of the characters are letters, numbers and white space."""
-    return all(" " <= c <= "~" or "\xa1" <= c <= "ɏ" or c in "\t\n" for c in part)
+#: Characters of which all libraries agree whether they are letters, numbers or white space.
+_common = re.compile("[ -~\xa1-\u024f\t\n]+").fullmatch
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, as what it has learned serves them all."""
+    return Encoder(path)
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file with the usual byte-level pre-tokenizer.
 
     Such a tokenizer splits a text into parts by an expression and encodes each
-    for itself.  Here words (what single spaces part) and their parts are looked up
-    where they are known, and only new parts reach the tokenizer.  A text with
-    uncommon characters or with a space beside other white space is encoded as one.
+    for itself.  Here words, which begin with each space and newline, and their parts
+    are looked up where they are known, and only new parts reach the tokenizer.  Words
+    are found by hashes and compared byte by byte.  A text with uncommon characters
+    or with more white space in a row is encoded as one.
     """
 
     def __init__(self, path: str):
@@ -73,9 +126,13 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character stands for one
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.words, self.word_ids = _Places(), _Lists()
+        self._forget_words()
         self.parts, self.part_ids = _Places(), _Lists()
 
+    def _forget_words(self) -> None:
+        self.words, self.word_ids = _Table(), _Lists()
+        self.word_bytes, self.word_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -104,45 +161,66 @@ class Encoder:
                 found[k] = x
         self.part_ids.add(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)), odd)
 
-    def _learn_words(self) -> None:
-        """A word stands behind a space, a text's first word is marked by one and stands behind none."""
-        new, self.words.new = self.words.new, []
-        odd = np.array([not w or w == " " or w[-1].isspace() or w[w[0] == " "].isspace() for w in new], bool)
-        joined = [w[1:] if w[:1] == " " else f" {w}" for w, x in zip(new, odd, strict=True) if not x]
-        parts = list(chain.from_iterable(map(self.split, joined)))
-        sizes = np.zeros(len(new), np.int64)
+    def _learn_words(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        body = [w[w[0] in " \n" :] for w in words]
+        odd = np.array([not b or b[0].isspace() or b[-1].isspace() for b in body], bool)
+        whole = [w for w, x in zip(words, odd, strict=True) if not x]
+        split = list(map(self.split, whole))
+        parts = list(chain.from_iterable(split))
         at = self.parts.of(parts)
         if self.parts.new:
             self._learn_parts()
-        part_bytes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
-        of_word = np.searchsorted(ends, np.cumsum(part_bytes) - part_bytes, "right")
+        of_word = np.repeat(np.arange(len(whole)), np.fromiter(map(len, split), np.int64, len(split)))
         ids, counts = self.part_ids.take(at)
-        good = np.flatnonzero(~odd)
-        sizes[good] = np.bincount(of_word, counts, len(joined)).astype(np.int64)
-        odd[good] |= np.bincount(of_word, self.part_ids.odd[at], len(joined)) > 0
+        sizes, good = np.zeros(len(new), np.int64), np.flatnonzero(~odd)
+        sizes[good] = np.bincount(of_word, counts, len(whole)).astype(np.int64)
+        odd[good] |= np.bincount(of_word, self.part_ids.odd[at], len(whole)) > 0
         self.word_ids.add(ids, sizes, odd)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text's behind another's, and how many each text has."""
-        if len(self.words) > _WORDS:
-            self.words, self.word_ids = _Places(), _Lists()
+        self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(new), np.uint8)])
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text's behind another's, and how many each text has; a null is empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if self.words.used > _WORDS:
+            self._forget_words()
         if len(self.parts) > _PARTS:
             self.parts, self.part_ids = _Places(), _Lists()
-        split = [text.split(" ") for text in texts]
-        for words in split:
-            words[0] = f" {words[0]}"
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        at = self.words.of(list(chain.from_iterable(split)))
-        if self.words.new:
-            self._learn_words()
+        data, offsets = flat(texts)
+        begins = (data == 32) | (data == 10)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        hashes = Rolling(BYTE[data], 0).of(starts, ends)
+        at = self.words.find(hashes)
+        if (at < 0).any():
+            new, where = np.unique(hashes[at < 0], return_index=True)
+            where = np.flatnonzero(at < 0)[where]
+            raw = data.tobytes()
+            first = len(self.word_ids.counts)
+            self._learn_words([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            self.words.add(new, first)
+            at = self.words.find(hashes)
         ids, counts = self.word_ids.take(at)
-        edges = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(lengths)])]
+        before = np.searchsorted(starts, offsets)
+        edges = np.concatenate([[0], np.cumsum(counts)])[before]
         sizes = np.diff(edges)
-        odd = np.unique(np.repeat(np.arange(len(texts)), lengths)[self.word_ids.odd[at]])
+        bad = self.word_ids.odd[at] | self._differs(data, starts, ends, at)
+        odd = np.unique(np.searchsorted(before, np.flatnonzero(bad), "right") - 1)
         if len(odd):
             lists = [ids[edges[k] : edges[k + 1]] for k in range(len(texts))]
-            for k, found in zip(odd, self._plain([texts[k] for k in odd]), strict=True):
+            for k, found in zip(odd, self._plain([texts[k].as_py() for k in odd.tolist()]), strict=True):
                 lists[k], sizes[k] = found, len(found)
             ids = np.concatenate(lists)
         return ids, sizes
+
+    def _differs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a word is another than the one found for its hash; the words have all of ``data``."""
+        size, known = ends - starts, self.word_ends[at + 1] - self.word_ends[at]
+        out = size != known
+        if not out.any():
+            there = self.word_bytes[np.arange(len(data)) + np.repeat(self.word_ends[at] - starts, size)]
+            if not np.array_equal(there, data):
+                out |= np.add.reduceat(there != data, starts) > 0
+        return out
