@@ -33,13 +33,42 @@ def compress_block(data: bytes, code: int, level: int = 3) -> tuple[int, bytes]:
     return (code, out) if len(out) < len(data) else (_RAW, data)
 
 
+def lz4_size(data: bytes) -> int | None:
+    """Bytes that a raw LZ4 block stands for, from its sequences' lengths (the library does not tell); None if cut short."""
+    at = total = 0
+
+    def more(n: int) -> int:
+        nonlocal at
+        while n >= 15:
+            n += data[at]
+            at += 1
+            if data[at - 1] < 255:
+                break
+        return n
+
+    try:
+        while True:
+            token = data[at]
+            at += 1
+            literals = more(token >> 4)
+            at, total = at + literals, total + literals
+            if at == len(data):  # the last sequence is literals alone
+                return total
+            if at + 2 > len(data):
+                return None
+            at += 2
+            total += more(token & 15) + 4
+    except IndexError:
+        return None
+
+
 def decompress_block(data: bytes, code: int, size: int) -> bytes | None:
     """None if the data is damaged or does not have this size."""
     try:
         if code == _RAW:
             out = data
         elif code == _LZ4:
-            out = pa.Codec("lz4_raw").decompress(data, decompressed_size=size, asbytes=True)
+            out = pa.Codec("lz4_raw").decompress(data, decompressed_size=size, asbytes=True) if lz4_size(data) == size else b""
         elif code == _ZSTD:
             out = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
         else:
@@ -151,20 +180,20 @@ class Record:
 
     def __init__(self, magic: int, version: int, fields: tuple[tuple[str, str], ...]):
         self.magic, self.version, self.names = magic, version, [n for n, _ in fields]
-        self.layout = struct.Struct("<II" + "".join(code for _, code in fields))
+        self.layout = "<II" + "".join(code for _, code in fields)
         self.crc_at = struct.calcsize("<II" + "".join(code for _, code in fields[: self.names.index("crc32")]))
 
     def encode(self, **values) -> bytes:
-        raw = self.layout.pack(self.magic, self.version, *(0 if n == "crc32" else values[n] for n in self.names))
+        raw = struct.pack(self.layout, self.magic, self.version, *(0 if n == "crc32" else values[n] for n in self.names))
         crc = zlib.crc32(raw)
         return (raw[: self.crc_at] + struct.pack("<I", crc) + raw[self.crc_at + 4 :]).ljust(BLOCK, b"\0")
 
     def decode(self, data: bytes | None) -> dict | None:
         """None for a wrong magic number, version, checksum or length."""
-        if data is None or len(data) < self.layout.size:
+        if data is None or len(data) < struct.calcsize(self.layout):
             return None
-        raw = bytes(data[: self.layout.size])
-        magic, version, *values = self.layout.unpack(raw)
+        raw = bytes(data[: struct.calcsize(self.layout)])
+        magic, version, *values = struct.unpack(self.layout, raw)
         out = dict(zip(self.names, values, strict=True))
         zeroed = raw[: self.crc_at] + bytes(4) + raw[self.crc_at + 4 :]
         return out if (magic, version) == (self.magic, self.version) and zlib.crc32(zeroed) == out["crc32"] else None
@@ -179,9 +208,9 @@ CHECKPOINT = Record(0x5348434B, 1, (("head_offset", "Q"), ("tail_offset", "Q"),
 
 def decode_checkpoint(data: bytes | None) -> dict | None:
     """A shard's checkpoint, whose checksum covers only what stands before it."""
-    if data is None or len(data) < CHECKPOINT.layout.size:
+    if data is None or len(data) < struct.calcsize(CHECKPOINT.layout):
         return None
-    magic, version, *values = CHECKPOINT.layout.unpack(bytes(data[: CHECKPOINT.layout.size]))
+    magic, version, *values = struct.unpack(CHECKPOINT.layout, bytes(data[: struct.calcsize(CHECKPOINT.layout)]))
     good = (magic, version) == (CHECKPOINT.magic, CHECKPOINT.version) and zlib.crc32(bytes(data[: CHECKPOINT.crc_at])) == values[-1]
     return dict(zip(CHECKPOINT.names, values, strict=True)) if good else None
 

@@ -59,8 +59,8 @@ def put_entries(index: DataFrame, reverse: DataFrame, entries: DataFrame, order:
     rest = [c for c in index.columns if c != "hash"]
     good = entries.filter(~F.col("hash").cast("string").rlike("^\x00*$") if dict(entries.dtypes)["hash"] == "binary" else ~F.col("hash").rlike("^0*$"))
     last = good.groupBy("hash").agg(F.max_by(F.struct(*rest), order).alias("e")).select("hash", "e.*")
-    kept = index.join(last.select("hash"), "hash", "left_anti").unionByName(last.select(*index.columns))
-    old = reverse.join(last.select("hash"), "hash", "left_anti")
+    kept = index.join(last.select("hash"), "hash", "left_anti").select(*index.columns).unionByName(last.select(*index.columns))
+    old = reverse.join(last.select("hash"), "hash", "left_anti").select(*reverse.columns)
     return kept, old.unionByName(last.select(*reverse.columns)).distinct()
 
 
