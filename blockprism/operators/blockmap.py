@@ -161,3 +161,43 @@ def resolved(volumes: DataFrame, names: Sequence[str]) -> DataFrame:
     if missing:
         raise KeyError(f"no such volumes: {missing}")
     return found
+
+
+def set_refcounts(stored: DataFrame, values: DataFrame) -> DataFrame:
+    """Counts ``(pba, refcount)`` put in place of what was there; zero takes the row away."""
+    rest = stored.join(values.select("pba"), "pba", "left_anti").select("pba", "refcount")
+    return rest.unionByName(values.select("pba", "refcount")).filter("refcount > 0")
+
+
+def write_mapping(blockmap: DataFrame, stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mappings of new physical blocks, whose counts are set to one; what they replace is left as it is."""
+    ones = batch.select("pba", F.lit(1).cast("bigint").alias("refcount")).distinct()
+    return upserted(blockmap, batch), set_refcounts(stored, ones)
+
+
+def remap(blockmap: DataFrame, stored: DataFrame, batch: DataFrame, old_pba: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Mappings moved to new blocks, whose counts are set to one; the old blocks lose a reference each.
+
+    The old block is the one that is mapped; where none is, ``batch``'s column ``old_pba``.
+    """
+    known = old_mappings(blockmap, batch.drop("old_pba") if old_pba else batch)
+    if old_pba:
+        known = known.join(batch.select(*KEY, F.col(old_pba).alias("told")), KEY).withColumn("old_pba", F.coalesce("old_pba", "told"))
+    gone = known.filter("old_pba is not null").groupBy(F.col("old_pba").alias("pba")).agg((-F.count("*")).alias("delta"))
+    ones = batch.select("pba", F.lit(1).cast("bigint").alias("refcount")).distinct()
+    return upserted(blockmap, batch.select(*blockmap.columns)), set_refcounts(adjusted(stored, gone), ones)
+
+
+def update_flags(blockmap: DataFrame, keys: DataFrame, skipped: bool) -> DataFrame:
+    """The dedup-skipped flag set or cleared for some blocks."""
+    marked = blockmap.join(keys.select(*KEY, F.lit(True).alias("_hit")).distinct(), KEY, "left")
+    kind = dict(blockmap.dtypes)["flags"]
+    return marked.withColumn("flags", F.when(F.col("_hit"), S.set_dedup_skipped("flags", skipped).cast(kind)).otherwise(F.col("flags"))).select(*blockmap.columns)
+
+
+def dedup_hit(blockmap: DataFrame, stored: DataFrame, hit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One block's mapping, now to a block that is there already; an error if nothing refers to that block any more."""
+    live = live_refcounts(stored).select("pba")
+    if hit.join(live, "pba", "left_anti").count():
+        raise ValueError("the target is not referred to any more")
+    return write_batch(blockmap, stored, hit)
