@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ BROADCAST_ROWS = 500_000
 PIECE_BYTES = 4 << 20
 
 _own_dir: dict[str, str] = {}
+_held: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,8 +70,30 @@ class Scratch:
             self._path(f"{self.root}/{name}", lambda fs, path: fs.delete(path, True))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each has about ``most`` bytes in column ``text``, one row at least."""
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a worker keeps from task to task, until a task of another operator begins."""
+    if name not in _held:
+        _held.clear()
+        _give_back()
+        _held[name] = make()
+    return _held[name]
+
+
+def _give_back() -> None:
+    """Memory that is free, which the allocators would keep, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES, holding: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each has about ``most`` bytes in column ``text``, one row at least.
+
+    What the worker keeps under another name than ``holding`` is let go.
+    """
+    if holding not in _held:
+        _held.clear()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -77,6 +104,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = PIECE_BYTES
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:

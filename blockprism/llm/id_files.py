@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockprism.llm.common import Scratch, pieces
-from blockprism.llm.token_ids import Encoder
+from blockprism.llm.token_ids import encoder
 
 _MAGIC = b"IDSEG1\0\0"
 _HEAD = struct.Struct("<8sIIIQII")  # magic, documents, blocks, block length, ids, bytes of index, bytes of counts
 _SLOTS = 9   # bits of a block's table of predictions
-_MIX, _ZERO = 16, 18  # bits of the mixing shares and of the order-0 counts
-#: What the shares of orders 2 and 1 tend to at most, of 2^16; so order 0 always has room for 2^18 parts.
-_MOST = (65280, 57344)
+_MIX, _ZERO = 15, 18  # bits of the mixing shares and of the order-0 counts
+#: What the shares of orders 2 and 1 tend to at least and at most, of 2^15; so order 0 always has room for 2^18 parts.
+_LEAST_SHARE, _MOST = 128, (32640, 28672)
 #: Lows and sizes of intervals are of 48 bits, in signed arrays of 64.
 _LOW, _LEAST = (1 << 48) - 1, 1 << 32
 
@@ -51,47 +51,48 @@ class _Mixer:
     """The predictions and shares of many blocks at the same place of each."""
 
     def __init__(self, blocks: int):
-        self.row = np.arange(blocks, dtype=np.int64)
-        self.table_row, self.share_row = self.row << _SLOTS, self.row << 4
-        self.tables = [np.zeros(blocks << _SLOTS, np.int64) for _ in range(2)]  # id and confidence
-        self.shares = np.full(blocks << 4, 1 << 13 << 20 | 1 << 13, np.int64)  # of order 2 and, of the rest, of order 1
+        row = np.arange(blocks)
+        self.table_row, self.share_row = row << _SLOTS, row << 4
+        self.tables = [np.zeros(blocks << _SLOTS, np.int32) for _ in range(2)]  # id and confidence
+        start = 1 << (_MIX - 3)
+        self.shares = np.full(blocks << 4, start << _MIX | start, np.int32)  # of order 2 and, of the rest, of order 1
         self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first ``n`` blocks: predicted ids of order 2 and 1, and where their shares end."""
-        last, before, mask = self.last[:n], self.before[:n], (1 << _SLOTS) - 1
-        self.at = (self.table_row[:n] + ((last * 0x9E35 + before * 0x2F0B5) >> 7 & mask), self.table_row[:n] + ((last ^ last >> _SLOTS) & mask))
+        last, mask = self.last[:n], (1 << _SLOTS) - 1
+        self.at = (self.table_row[:n] + ((last * 0x9E35 + self.before[:n]) >> 7 & mask), self.table_row[:n] + ((last ^ last >> _SLOTS) & mask))
         self.seen = (self.tables[0].take(self.at[0]), self.tables[1].take(self.at[1]))
         self.trust = (self.seen[0] & 3, self.seen[1] & 3)
-        self.sure = self.share_row[:n] + (self.trust[0] << 2) + self.trust[1]
+        self.sure = self.share_row[:n] + ((self.trust[0] << 2) + self.trust[1])
         share = self.shares.take(self.sure)
-        self.two, self.one = share >> 20, share & 0xFFFFF
-        return self.seen[0] >> 2, self.seen[1] >> 2, self.two, self.two + ((65536 - self.two) * self.one >> 16)
+        self.two, self.one = share >> _MIX, share & ((1 << _MIX) - 1)
+        return self.seen[0] >> 2, self.seen[1] >> 2, self.two, self.two + (((1 << _MIX) - self.two) * self.one >> _MIX)
 
     def update(self, ids: np.ndarray, is_two: np.ndarray, one_right: np.ndarray) -> None:
         """Whether orders 2 and 1 were right; order 1's share is among what order 2 misses."""
         n = len(ids)
-        two = self.two + ((np.where(is_two, _MOST[0], 256) - self.two) >> 5)
-        one = np.where(is_two, self.one, self.one + ((np.where(one_right, _MOST[1], 256) - self.one) >> 5))
-        self.shares[self.sure] = (two << 20) + one
+        two = self.two + ((np.where(is_two, np.int32(_MOST[0]), np.int32(_LEAST_SHARE)) - self.two) >> 5)
+        moved = self.one + ((np.where(one_right, np.int32(_MOST[1]), np.int32(_LEAST_SHARE)) - self.one) >> 5)
+        self.shares[self.sure] = (two << _MIX) + np.where(is_two, self.one, moved)
         fresh = ids << 2
         for k, right in enumerate((is_two, one_right)):
             seen, trust = self.seen[k], self.trust[k]
             self.tables[k][self.at[k]] = np.where(right, seen + (trust < 3), np.where(trust == 0, fresh, seen - 1))
-        self.before[:n] = self.last[:n]
+        np.multiply(self.last[:n], 0x2F0B5, out=self.before[:n])  # as the hash of two needs it
         self.last[:n] = ids
 
 
 def _narrow(unit: np.ndarray, low: np.ndarray, is_two: np.ndarray, is_one: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The interval of the order that was right."""
-    begin = np.where(is_two, 0, np.where(is_one, two, one))
-    return low + unit * begin, unit * (np.where(is_two, two, np.where(is_one, one, 65536)) - begin)
+    begin = np.where(is_two, np.int32(0), np.where(is_one, two, one))
+    return low + unit * begin, unit * (np.where(is_two, two, np.where(is_one, one, np.int32(1 << _MIX))) - begin)
 
 
-def _settled(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a word is due, and the size to go on with: cut at the next boundary if the interval is small but straddles it."""
-    same = (low ^ (low + size)) < _LEAST
-    return same | (size < _LEAST), np.where(same, size, -low & (_LEAST - 1))
+def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """After a word is put out where one is due: a size below ``_LEAST`` that straddles a boundary is cut there."""
+    cut = np.where((low ^ (low + size)) < _LEAST, size, -low & (_LEAST - 1))
+    return np.where(due, low << 16 & _LOW, low), np.where(due, cut << 16, size)
 
 
 def _order_zero(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +115,11 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
     k = len(lengths)
     counts = np.bincount(ids)
     known = np.flatnonzero(counts)
-    place, counts = np.cumsum(counts > 0) - 1, counts[known]
+    zero = np.zeros(len(counts), np.int64)  # of each id, where its part of order 0 begins, and its share
+    counts = counts[known]
     share, begins = _order_zero(counts)
-    grid = np.zeros(k * block, np.int64)
+    zero[known] = begins << 20 | share
+    grid = np.zeros(k * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(k, block).T)
     low, size = np.zeros(k, np.int64), np.full(k, _LOW, np.int64)
@@ -131,20 +134,17 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
         p2, p1, two, one = mixer.predict(n)
         is_two, one_right = x == p2, x == p1
         lo, sz = _narrow(size[:n] >> _MIX, low[:n], is_two, one_right, two, one)
-        zero, at = ~(is_two | one_right), place.take(x)
+        predicted, part = is_two | one_right, zero.take(x)
         unit = sz >> _ZERO
-        lo, sz = np.where(zero, lo + unit * begins.take(at), lo), np.where(zero, unit * share.take(at), sz)
-        due, cut = _settled(lo, sz)
+        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20)), np.where(predicted, sz, unit * (part & 0xFFFFF))
+        due = sz < _LEAST
         out[used[:n]] = lo >> 32  # is overwritten if it was not due
         used[:n] += due
-        lo, sz = np.where(due, lo << 16 & _LOW, lo), np.where(due, cut << 16, sz)
-        due, cut = _settled(lo, sz)
-        while due.any():
-            at = np.flatnonzero(due)
-            out[used[at]] = lo[at] >> 32
-            used[at] += 1
-            lo[at], sz[at] = lo[at] << 16 & _LOW, cut[at] << 16
-            due, cut = _settled(lo, sz)
+        lo, sz = _shifted(lo, sz, due)
+        while (due := sz < _LEAST).any():
+            out[used[:n][due]] = lo[due] >> 32
+            used[:n] += due
+            lo, sz = _shifted(lo, sz, due)
         low[:n], size[:n] = lo, sz
         mixer.update(x, is_two, one_right)
     for shift in (32, 16, 0):  # what tells the last interval
@@ -158,13 +158,13 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
     """Ids of blocks, of which only the last may be shorter than ``block``: a row per block."""
     k = len(words)
     share, begins = _order_zero(counts)
-    of_slot = np.repeat(np.arange(len(known)), share)
+    of_slot, packed = np.repeat(np.arange(len(known)), share), begins << 20 | share
     width = max(map(len, words)) + 4
-    source = np.zeros((k, width), np.int64)
+    source = np.zeros((k, width), np.uint16)
     for j, w in enumerate(words):
         source[j, : len(w)] = w
     source, read = source.reshape(-1), np.arange(k) * width + 3
-    code = source[read - 3] << 32 | source[read - 2] << 16 | source[read - 1]
+    code = source[read - 3].astype(np.int64) << 32 | source[read - 2].astype(np.int64) << 16 | source[read - 1]
     low, size = np.zeros(k, np.int64), np.full(k, _LOW, np.int64)
     out = np.zeros((block, k), np.int32)
     mixer = _Mixer(k)
@@ -180,20 +180,14 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         lo, sz = _narrow(unit, low[:n], is_two, is_one, two, one)
         unit = sz >> _ZERO
         place = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")
-        zero = ~(is_two | is_one)
-        x = np.where(zero, known.take(place), np.where(is_two, p2, p1))
-        lo, sz = np.where(zero, lo + unit * begins.take(place), lo), np.where(zero, unit * share.take(place), sz)
-        due, cut = _settled(lo, sz)
-        code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
-        read[:n] += due
-        lo, sz = np.where(due, lo << 16 & _LOW, lo), np.where(due, cut << 16, sz)
-        due, cut = _settled(lo, sz)
-        while due.any():
-            at = np.flatnonzero(due)
-            code[at] = (code[at] << 16 & _LOW) | source[read[at]]
-            read[at] += 1
-            lo[at], sz[at] = lo[at] << 16 & _LOW, cut[at] << 16
-            due, cut = _settled(lo, sz)
+        predicted = is_two | is_one
+        x = np.where(predicted, np.where(is_two, p2, p1), known.take(place))
+        part = packed.take(place)
+        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20)), np.where(predicted, sz, unit * (part & 0xFFFFF))
+        while (due := sz < _LEAST).any():
+            code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
+            read[:n] += due
+            lo, sz = _shifted(lo, sz, due)
         low[:n], size[:n] = lo, sz
         out[t, :n] = x
         mixer.update(x, is_two, x == p1)
@@ -235,7 +229,7 @@ def unpack_segment(data: bytes, blocks: list[int] | None = None) -> tuple[list[i
 
 def _write(tokenizer: str, end_id: int, segment: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -245,8 +239,8 @@ def _write(tokenizer: str, end_id: int, segment: int, blocks: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_ids", "data"])
 
         size = 0
-        for batch in pieces(batches, 1):
-            ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+        for batch in pieces(batches, 1, 1 << 20, tokenizer):
+            ids, sizes = tokens.encode(batch.column(1))
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             docs += batch.column(0).to_pylist()
             held.append((ids, sizes + 1))
@@ -269,7 +263,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(docs), pa.int32()), pa.array([seq.as_py()] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())], names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment: int = 6_000_000, blocks: int = 2048) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment: int = 6_000_000, blocks: int = 4096) -> None:
     """Writes segments of about ``segment`` ids, of about ``blocks`` blocks each, in ascending order of documents' ids."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     order = (F.col("doc_id"), F.xxhash64("text"))

@@ -46,7 +46,7 @@ _RANKED = 100_000
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        for batch in pieces(batches, 1, 2 << 20):
+        for batch in pieces(batches, 1, 1 << 20, tokenizer):
             ids, sizes = tokens.encode(batch.column(1))
             out: list[tuple] = []
             at = 0

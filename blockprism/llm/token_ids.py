@@ -4,35 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from blockprism.llm.common import flat
+from blockprism.llm.common import flat, held
 from blockprism.llm.rolling import BYTE, Rolling
 
-#: Words, and their parts, whose ids a worker keeps at most (a few more while a batch lasts).
-_WORDS, _PARTS = 1_000_000, 300_000
-#: New parts that are encoded as one text.
-_JOINED = 512
-
-
-class _Places(dict):
-    """Numbers keys in the order in which they are first asked for; ``new`` has those numbered since it was emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def of(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+#: Words whose ids a worker keeps at most (a few more while a batch lasts).
+_WORDS = 600_000
+#: New words that are encoded as one text.
+_JOINED = 1024
 
 
 class _Table:
@@ -93,41 +75,38 @@ class _Lists:
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + counts, counts)], counts
 
 
-#: Characters of which all libraries agree whether they are letters, numbers or white space.
-_common = re.compile("[ -~\xa1-\u024f\t\n]+").fullmatch
+#: A word: a space or newline, or a text's beginning, and then no white space at either end, of characters of which all
+#: libraries agree whether they are letters, numbers or white space.
+_regular = re.compile("[ \n]?[!-~\xa1-\u024f](?:[!-~\xa1-\u024f\t]*[!-~\xa1-\u024f])?").fullmatch
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker, as what it has learned serves them all."""
-    return Encoder(path)
+    """One for all tasks of a worker, as what it has learned serves them all; it is held under its path."""
+    return held(path, lambda: Encoder(path))
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file with the usual byte-level pre-tokenizer.
 
     Such a tokenizer splits a text into parts by an expression and encodes each
-    for itself.  Here words, which begin with each space and newline, and their parts
-    are looked up where they are known, and only new parts reach the tokenizer.  Words
-    are found by hashes and compared byte by byte.  A text with uncommon characters
-    or with more white space in a row is encoded as one.
+    for itself; no part goes beyond a space or a newline between two characters that
+    are no white space.  So words, which begin with each space and newline, are looked
+    up where they are known, and only new words reach the tokenizer, many as one text.
+    Words are found by hashes and compared byte by byte.  A text with uncommon
+    characters or with more white space in a row is encoded as one.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character stands for one
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self._forget_words()
-        self.parts, self.part_ids = _Places(), _Lists()
 
     def _forget_words(self) -> None:
         self.words, self.word_ids = _Table(), _Lists()
@@ -136,57 +115,33 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, parts: list[str], between: str) -> list[np.ndarray]:
-        """Ids of parts that stay parts when they are put side by side with ``between`` behind each."""
-        found = []
-        for at in range(0, len(parts), _JOINED):
-            own = parts[at : at + _JOINED]
-            ids = self._plain([between.join([*own, ""])])[0]
-            sizes = np.array([len(p.encode()) for p in own])
-            ends = np.cumsum(sizes + len(between)) - len(between)
-            reached = np.concatenate([[0], np.cumsum(self.width[ids])])
-            found += [ids[a:b] for a, b in zip(np.searchsorted(reached, ends - sizes), np.searchsorted(reached, ends), strict=True)]
-        return found
-
-    def _learn_parts(self) -> None:
-        new, self.parts.new = self.parts.new, []
-        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(new)
-        odd = np.array([not _common(p) for p in new], bool)
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for k, p in enumerate(new):
-            if not odd[k]:
-                kinds[0 if p[0] == " " and p[1:].isalpha() else 1 if p.isalpha() else 2].append(k)
-        for where, ids in ((kinds[0], self._joined([new[k] for k in kinds[0]], "")), (kinds[1], self._joined([new[k] for k in kinds[1]], "\n")), (kinds[2], self._plain([new[k] for k in kinds[2]]))):
-            for k, x in zip(where, ids, strict=True):
-                found[k] = x
-        self.part_ids.add(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)), odd)
-
-    def _learn_words(self, new: list[bytes]) -> None:
+    def _learn_words(self, new: list[bytes], hashes: np.ndarray) -> None:
         words = [w.decode() for w in new]
-        body = [w[w[0] in " \n" :] for w in words]
-        odd = np.array([not b or b[0].isspace() or b[-1].isspace() for b in body], bool)
-        whole = [w for w, x in zip(words, odd, strict=True) if not x]
-        split = list(map(self.split, whole))
-        parts = list(chain.from_iterable(split))
-        at = self.parts.of(parts)
-        if self.parts.new:
-            self._learn_parts()
-        of_word = np.repeat(np.arange(len(whole)), np.fromiter(map(len, split), np.int64, len(split)))
-        ids, counts = self.part_ids.take(at)
-        sizes, good = np.zeros(len(new), np.int64), np.flatnonzero(~odd)
-        sizes[good] = np.bincount(of_word, counts, len(whole)).astype(np.int64)
-        odd[good] |= np.bincount(of_word, self.part_ids.odd[at], len(whole)) > 0
-        self.word_ids.add(ids, sizes, odd)
-        self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(new), np.uint8)])
-        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+        odd = np.array([not _regular(w) for w in words], bool)
+        first = np.array([w[0] not in b" \n" for w in new], bool)  # of its text: stands behind nothing
+        order = np.concatenate([np.flatnonzero(k) for k in (~odd & ~first, ~odd & first, odd)])
+        inside = [words[k] for k in order[: int((~odd & ~first).sum())]]
+        alone = self._plain([words[k] for k in order[len(inside) : int((~odd).sum())]])
+        ids, counts = [], []
+        joined = ["".join(inside[k : k + _JOINED]) for k in range(0, len(inside), _JOINED)]
+        size = np.fromiter((len(new[k]) for k in order), np.int64, len(order))
+        for k, found in enumerate(self._plain(joined)):
+            reached = np.concatenate([[0], np.cumsum(self.width[found])])
+            ends = np.cumsum(size[: len(inside)][k * _JOINED : (k + 1) * _JOINED])
+            ids.append(found)
+            counts.append(np.diff(np.searchsorted(reached, ends), prepend=0))
+        counts += [np.fromiter(map(len, alone), np.int64, len(alone)), np.zeros(int(odd.sum()), np.int64)]
+        place = len(self.word_ids.counts)
+        self.word_ids.add(np.concatenate([*ids, *alone, np.empty(0, np.uint32)]), np.concatenate(counts), odd[order])
+        self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(new[k] for k in order), np.uint8)])
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(size)])
+        self.words.add(hashes[order], place)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text's behind another's, and how many each text has; a null is empty."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if self.words.used > _WORDS:
             self._forget_words()
-        if len(self.parts) > _PARTS:
-            self.parts, self.part_ids = _Places(), _Lists()
         data, offsets = flat(texts)
         begins = (data == 32) | (data == 10)
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -198,9 +153,7 @@ class Encoder:
             new, where = np.unique(hashes[at < 0], return_index=True)
             where = np.flatnonzero(at < 0)[where]
             raw = data.tobytes()
-            first = len(self.word_ids.counts)
-            self._learn_words([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            self.words.add(new, first)
+            self._learn_words([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], new)
             at = self.words.find(hashes)
         ids, counts = self.word_ids.take(at)
         before = np.searchsorted(starts, offsets)
