@@ -131,9 +131,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, *, id_col: str
     grams = sorted(set().union(*(s for sets in plan.values() for s in sets)))
     out = rows
     if grams:
-        lowered = F.lower("text")
-        there = F.filter(F.array(*(F.when(lowered.contains(g), F.lit(k)) for k, g in enumerate(grams))), lambda x: x.isNotNull())
-        postings = scratch.write(rows.select("doc_id", "text_hash", F.explode(there).alias("gram")), "postings")
+        lowered = rows.select("doc_id", "text_hash", F.lower("text").alias("low"))  # once for all trigrams
+        marked = lowered.select("doc_id", "text_hash", F.array(*(F.when(F.col("low").contains(g), F.lit(k)) for k, g in enumerate(grams))).alias("there"))
+        postings = scratch.write(marked.select("doc_id", "text_hash", F.explode("there").alias("gram")).filter("gram is not null"), "postings")
         sets = [(k, s) for k, found in plan.items() for s in found]
         words = [F.expr(f"bit_or(case when gram div 62 = {w} then shiftleft(1L, cast(gram % 62 as int)) else 0L end)").alias(f"w{w}") for w in range(-(-len(grams) // 62))]
         lists = postings.groupBy("doc_id", "text_hash").agg(*words)
