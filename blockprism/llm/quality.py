@@ -88,7 +88,7 @@ def quantiles(rows: DataFrame, groups: list[str], values: list[str], at: list[fl
     return summed.groupBy(*groups).agg(F.max("total").alias(tag), *found)
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50, most_repeated: int = 50, fence: float = 3.0, least: int = 200, growth: float = 1.04) -> DataFrame:
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_words: int = 50, most_repeated: int = 50, fence: float = 4.0, least: int = 200, growth: float = 1.04) -> DataFrame:
     """Counts, base verdict and adaptive verdict per document, with the cutoffs in columns of their own."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
