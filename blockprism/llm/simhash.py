@@ -15,6 +15,11 @@ in numpy and emits a tree per group, never all pairs.  A bucket of more than
 ``bucket`` fingerprints is dealt again by a second covering family, which is as
 exact, and goes to many tasks.
 
+``similar_groups`` adds a check of the texts themselves: fingerprints choose
+candidates, and a link holds if the sets of word shingles have the similarity asked
+for.  Its nodes are distinct texts; each link that the search in breadth found is
+checked, again no pairs within a group.
+
 A null text or one without words has fingerprint zero, and links like any other.
 Repeated rows give repeated results.  A null id takes part in linking, but is
 never a component's id unless the component has no other.
@@ -33,27 +38,78 @@ from pyspark.sql import functions as F
 from blockprism.llm.common import Scratch, as_bytes, lookup, pieces
 from blockprism.llm.components import components
 
+#: Tables of the first covering family, over all families of fingerprints, have numbers below this.
+_TABLES = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, families: int = 1) -> list[int]:
+    """The text's fingerprint; further families are of the same shingles, their hashes mixed anew."""
     words = text.translate(_LOWER).split()  # of bytes: at \\x20 and \\x09-\\x0D only
     if not words:
-        return 0
+        return [0] * families
     joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     count = max(1, len(words) - shingle + 1)
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in joined), np.uint64, count)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, count, 1 << 15):
-        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+    out = []
+    for family in range(families):
+        if family:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes ^= hashes >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, count, 1 << 15):
+            ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little"))
+    return out
 
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            found = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprints(t, shingle, seed)[0] for t in as_bytes(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+
+    return run
+
+
+def _hashed(shingle: int, seed: int, families: int):
+    """The fingerprints of all families, and a hash of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            texts = as_bytes(batch.column(1))
+            found = np.array([fingerprints(t, shingle, seed, families) for t in texts], np.uint64).reshape(-1, families)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.view(np.int64).reshape(-1)), families).cast(pa.list_(pa.int64()))
+            whole = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(whole)], names=["doc_id", "fps", "th"])
+
+    return run
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, ascending; a text of fewer words is one shingle, of none none."""
+    words = text.translate(_LOWER).split()
+    joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64))
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -66,16 +122,16 @@ def covering_masks(radius: int, family: int = 0) -> list[int]:
 
 
 def link(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A forest over the distinct fingerprints: one edge for each but the first of a group."""
+    """A forest over the distinct fingerprints, of edges within the radius: one for each but the first of a group."""
     edges, left = [], prints
     while len(left):
         frontier, left = [left[0]], left[1:]
-        root = frontier[0]
         while frontier and len(left):
-            near = np.bitwise_count(left ^ frontier.pop()) <= radius
+            one = frontier.pop()
+            near = np.bitwise_count(left ^ one) <= radius
             if near.any():
                 found, left = left[near], left[~near]
-                edges += [(root, x) for x in found]
+                edges += [(one, x) for x in found]
                 frontier += list(found)
     return edges
 
@@ -94,43 +150,62 @@ def _link(radius: int):
             edges = []
             for s, e in zip(starts, ends, strict=True):
                 if (own := (table[s], key[s], sub[s])) != open_key:
-                    edges += _closed(open_prints, radius)
+                    edges += _closed(open_prints, radius, open_key)
                     open_key, open_prints = own, []
                 open_prints.append(fp[s:e])
             if edges:
                 yield _edges(edges)
-        if edges := _closed(open_prints, radius):
+        if edges := _closed(open_prints, radius, open_key):
             yield _edges(edges)
 
     return run
 
 
-def _closed(parts: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
+def _closed(parts: list[np.ndarray], radius: int, key: tuple | None) -> list[tuple[int, int, int]]:
     prints = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return link(prints.view(np.uint64), radius) if len(prints) > 1 else []
+    if len(prints) < 2:
+        return []
+    family = int(key[0]) % _TABLES >> radius + 1
+    return [(family, a, b) for a, b in link(prints.view(np.uint64), radius)]
 
 
-def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = np.array(edges, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+def _edges(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    family, *ends = (np.array(x, np.uint64).view(np.int64) for x in zip(*edges, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(family.astype(np.int32)), *map(pa.array, ends)], names=["family", "a", "b"])
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _large_buckets(rows: DataFrame, scratch: Scratch, n: int, bucket: int) -> DataFrame | None:
+    """``(table, key, large)`` of buckets of more rows than ``bucket``, None if there are none.
+
+    Keys are counted in bins first, which combine before the shuffle; only keys of
+    bins that have too many are counted themselves.
+    """
+    bins = 1 << max(6, (8 * n // bucket).bit_length())
+    binned = rows.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
+    full = scratch.write(binned.groupBy("table", "bin").count().filter(F.col("count") > bucket).select("table", "bin", F.lit(True).alias("full")), "full_bins")
+    if full.isEmpty():
+        return None
+    counts = lookup(binned, full, ["table", "bin"]).filter("full").groupBy("table", "key").count()
+    large = scratch.write(counts.filter(F.col("count") > bucket).select("table", "key", F.lit(True).alias("large")), "large_buckets")
+    return None if large.isEmpty() else large
+
+
 def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 8192) -> DataFrame:
-    """Edges ``(a, b)`` that connect the distinct fingerprints ``fp`` as all pairs within the radius do."""
-    first = [F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]
+    """Edges ``(family, a, b)`` that connect each family's distinct ``(family, fp)`` as all pairs within the radius do."""
+    first = [F.struct((F.col("family") * (1 << (radius + 1)) + k).cast("int").alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]
     rows = prints.select("fp", F.explode(F.array(*first)).alias("x")).select("x.table", "x.key", F.lit(0).cast("bigint").alias("sub"), "fp")
-    large = scratch.write(rows.groupBy("table", "key").count().filter(F.col("count") > bucket).select("table", "key", F.lit(True).alias("large")), "large_buckets")
-    if not large.isEmpty():
+    large = _large_buckets(rows, scratch, prints.count(), bucket)
+    if large is not None:
         second = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius, 1)))
         rows = lookup(rows, large, ["table", "key"])
-        again = rows.filter("large").select((F.col("table")).alias("table"), "key", "fp", F.posexplode(second).alias("k", "sub")).select((F.col("table") + 1000 * (F.col("k") + 1)).alias("table"), "key", "sub", "fp")
+        again = rows.filter("large").select("table", "key", "fp", F.posexplode(second).alias("k", "sub")).select((F.col("table") + _TABLES * (F.col("k") + 1)).alias("table"), "key", "sub", "fp")
         rows = rows.filter("large is null").drop("large").unionByName(again)
     dealt = rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub")
-    return dealt.mapInArrow(_link(radius), "a bigint, b bigint")
+    return dealt.mapInArrow(_link(radius), "family int, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3, bucket: int = 8192) -> DataFrame:
@@ -139,9 +214,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.write(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id bigint, fp bigint"), "fingerprints")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
-    roots = scratch.write(components(links(prints.select("fp"), scratch, radius, bucket), scratch).select(F.col("node").alias("fp"), "root"), "roots")
+    roots = scratch.write(components(links(prints.select(F.lit(0).alias("family"), "fp"), scratch, radius, bucket), scratch).select(F.col("node").alias("fp"), "root"), "roots")
     many = scratch.write(lookup(prints, roots, ["fp"]).filter("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root")), "grouped")
     ids = scratch.write(many.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     of = scratch.write(lookup(many, ids, ["root"]).select("fp", "component_id"), "of")
     out = lookup(rows, of, ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 3, seed: int = 42, families: int = 8, radius: int = 3, bucket: int = 8192) -> DataFrame:
+    """``(doc_id, component_id)`` for each row; ids have to be unique and not null.
+
+    Candidates have fingerprints of ``print_shingle`` words within ``radius`` in one
+    of several ``families``, which err independently; a link holds if the texts'
+    sets of ``shingle``-word shingles have at least this Jaccard similarity.  Equal
+    texts are one node.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
+    rows = scratch.write(texts.mapInArrow(_hashed(print_shingle, seed, families), "doc_id bigint, fps array<bigint>, th bigint"), "fingerprints")
+    rows = rows.withColumn("fp", F.col("fps")[0])
+    nodes = scratch.write(rows.groupBy("fp", "th").agg(F.min(F.struct("doc_id", "fps")).alias("o")).select("fp", "th", F.col("o.doc_id").alias("node"), "o.fps"), "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
+    first = scratch.write(each.groupBy("family", "fp").agg(F.min("node").alias("first")), "first")
+    near = scratch.write(links(first.select("family", "fp"), scratch, radius, bucket).distinct(), "near")
+    ends = lookup(near, first.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"])
+    ends = lookup(ends, first.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"]).select("x", "y")
+    equal = lookup(each, first, ["family", "fp"]).filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    both = ends.unionByName(equal).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    asked = scratch.write(both.distinct(), "asked")
+    wanted = scratch.write(asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct().withColumn("wanted", F.lit(True)), "wanted")
+    sets = scratch.write(lookup(texts, wanted, ["node"]).filter("wanted").select("node", "text").mapInArrow(_sets(shingle), "node bigint, shingles binary"), "sets")
+    x, y = (sets.withColumnsRenamed({"node": c, "shingles": f"{c}_shingles"}) for c in "xy")
+    alike = asked.join(x, "x").join(y, "y").select("x", "y", "x_shingles", "y_shingles").mapInArrow(_alike(similarity), "a bigint, b bigint")
+    roots = scratch.write(components(alike, scratch), "roots")
+    scratch.drop("first", "near", "asked", "wanted", "sets")
+    named = scratch.write(lookup(nodes.select("fp", "th", "node"), roots, ["node"]).select("fp", "th", F.coalesce("root", "node").alias("component_id")), "named")
+    return lookup(rows.select("doc_id", "fp", "th"), named, ["fp", "th"]).select("doc_id", "component_id")

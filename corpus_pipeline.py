@@ -15,7 +15,7 @@ from blockprism.llm.language import held_out, languages
 from blockprism.llm.packing import pack
 from blockprism.llm.queries import table, tokenizer_path
 from blockprism.llm.secrets import masked, scan
-from blockprism.llm.simhash import near_duplicates
+from blockprism.llm.simhash import similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,10 +37,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest key, of each group of near-duplicates over five-word shingles."""
+    """One document, that of the smallest key, of each group of texts that share 0.8 of their five-word shingles."""
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
-    found = near_duplicates(keyed, id_col="row_key", shingle=5, radius=6)
+    found = similar_groups(keyed, id_col="row_key")
     first = scratch.write(found.filter("doc_id = component_id").select(F.col("doc_id").alias("row_key"), F.lit(True).alias("first")), "first")
     return lookup(keyed, first, ["row_key"]).filter("first").select(*COLUMNS)
 

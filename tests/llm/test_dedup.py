@@ -84,6 +84,27 @@ def test_near_duplicates_match_all_pairs(spark, bucket):
     assert any(k != c for k, c in roots.items())
 
 
+def test_similar_groups_hold_the_similarity(spark):
+    r = random.Random(8)
+    texts = random_texts(21, 15, 3000, 300) + [None, "", "one two", "one  two"]
+    for base in texts[:15]:
+        words = base.split()
+        for share in (0, 0.005, 0.02, 0.2):
+            texts.append(" ".join("x" if r.random() < share else w for w in words))
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    prints = [simhash.fingerprints((t or "").encode())[0] for t in texts]
+    n = range(len(texts))
+    allowed = roots_of([*((k, k) for k in n), *((a, b) for a in n for b in range(a) if alike(a, b))])
+    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs(spark, texts), id_col="doc_id").collect()}
+    assert sorted(found) == list(n) and all(allowed[k] == allowed[c] for k, c in found.items())
+    direct = [(a, b) for a in n for b in range(a) if alike(a, b) and ((prints[a] ^ prints[b]).bit_count() <= 3)]
+    assert all(found[a] == found[b] for a, b in direct) and len(direct) > 15
+
+
 def removed(texts, window=35):
     seen = Counter()
     split = [(t or "").encode().split() for t in texts]

@@ -42,7 +42,6 @@ def test_forgetting_changes_nothing(encoder, monkeypatch):
     import blockprism.llm.token_ids as module
 
     monkeypatch.setattr(module, "_WORDS", 5)
-    monkeypatch.setattr(module, "_PARTS", 5)
     for text in random_texts(4, 10, 50, 40):
         assert split(*encoder.encode([text])) == [plain(encoder, text)]
 
