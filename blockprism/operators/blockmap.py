@@ -34,6 +34,10 @@ def has_reference(blockmap: DataFrame, pba: int) -> bool:
     return not blockmap.filter(F.col("pba") == pba).isEmpty()
 
 
+def count_references(blockmap: DataFrame, pba: int) -> int:
+    return blockmap.filter(F.col("pba") == pba).count()
+
+
 def refcounts(blockmap: DataFrame) -> DataFrame:
     """References per physical block: the mappings that point to it."""
     return blockmap.groupBy("pba").agg(F.count("*").alias("refcount"))

@@ -35,6 +35,16 @@ def latest_run(files: DataFrame, column: str = "path") -> DataFrame:
     return files.select(run.alias("run")).filter("run <> ''").agg(F.max("run").alias("run"))
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as JSON lines, added to what is there; fields that are null are left out."""
+    events.write.mode("append").json(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A run's summary, one row, as JSON, in place of the one before."""
+    summary.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
 #: Settings that a file need not give.
 DEFAULTS = {
     "storage": {"block_size": 4096, "compression": "lz4"},

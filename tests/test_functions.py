@@ -134,6 +134,11 @@ def test_ring_files(spark, tmp_path):
 def test_text_sources(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"event":"failure","message":"m","ts":1.5}\n\nnot json\n{"kind":"read","offset":5}\n')
     assert [(r["event"], r["kind"], r["offset"]) for r in logs.soak_events(spark, str(tmp_path)).collect()] == [("failure", None, None), (None, "read", 5)]
+    logs.write_events(logs.soak_events(spark, str(tmp_path / "e.jsonl")), str(tmp_path / "out"))
+    logs.write_events(logs.soak_events(spark, str(tmp_path / "e.jsonl")), str(tmp_path / "out"))
+    assert logs.soak_events(spark, str(tmp_path / "out")).count() == 4
+    logs.write_summary(spark.createDataFrame([(1, True)], "seed int, final boolean"), str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first()["final"] is True
     lines = spark.createDataFrame([("2024-01-01T00 \x1b[33mWARN\x1b[0m a::b: hello there",), ("junk",)], "value string")
     assert [tuple(r) for r in logs.log_lines(lines).collect()] == [("2024-01-01T00", "WARN", "a::b", "hello there")]
     files = spark.createDataFrame([("/r/1/summary.json",), ("/r/3/x",), ("/r/2/summary.json",)], "path string")

@@ -150,6 +150,11 @@ def test_rebuilt_counts(spark):
     assert rows(counts) == [(10, 1), (9, 2)] and rows(summary) == [(2, 1, 1)]
 
 
+def test_references_to_one_block(spark):
+    table = mapping(spark, [("a", 1, 1), ("a", 2, 1), ("b", 1, 2)])
+    assert blockmap.count_references(table, 9) == 2 and blockmap.has_reference(table, 10) and not blockmap.has_reference(table, 11)
+
+
 def test_resolved_volumes(spark):
     volumes = spark.createDataFrame([("b", 1), ("a", 2)], "vol_id string, created_at bigint")
     assert [r["vol_id"] for r in blockmap.resolved(volumes, ["b", "a", "b"]).collect()] == ["b", "a", "b"]
