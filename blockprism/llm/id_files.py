@@ -55,7 +55,7 @@ class _Mixer:
         self.table_row, self.share_row = row << _SLOTS, row << 4
         self.tables = [np.zeros(blocks << _SLOTS, np.int32) for _ in range(2)]  # id and confidence
         start = 1 << (_MIX - 3)
-        self.shares = np.full(blocks << 4, start << _MIX | start, np.int32)  # of order 2 and, of the rest, of order 1
+        self.shares = np.full(blocks << 4, start << _MIX | start, np.int64)  # of order 2 and, of the rest, of order 1
         self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
@@ -72,8 +72,8 @@ class _Mixer:
     def update(self, ids: np.ndarray, is_two: np.ndarray, one_right: np.ndarray) -> None:
         """Whether orders 2 and 1 were right; order 1's share is among what order 2 misses."""
         n = len(ids)
-        two = self.two + ((np.where(is_two, np.int32(_MOST[0]), np.int32(_LEAST_SHARE)) - self.two) >> 5)
-        moved = self.one + ((np.where(one_right, np.int32(_MOST[1]), np.int32(_LEAST_SHARE)) - self.one) >> 5)
+        two = self.two + ((np.where(is_two, _MOST[0], _LEAST_SHARE) - self.two) >> 5)
+        moved = self.one + ((np.where(one_right, _MOST[1], _LEAST_SHARE) - self.one) >> 5)
         self.shares[self.sure] = (two << _MIX) + np.where(is_two, self.one, moved)
         fresh = ids << 2
         for k, right in enumerate((is_two, one_right)):
@@ -85,8 +85,8 @@ class _Mixer:
 
 def _narrow(unit: np.ndarray, low: np.ndarray, is_two: np.ndarray, is_one: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The interval of the order that was right."""
-    begin = np.where(is_two, np.int32(0), np.where(is_one, two, one))
-    return low + unit * begin, unit * (np.where(is_two, two, np.where(is_one, one, np.int32(1 << _MIX))) - begin)
+    begin = np.where(is_two, 0, np.where(is_one, two, one))
+    return low + unit * begin, unit * (np.where(is_two, two, np.where(is_one, one, 1 << _MIX)) - begin)
 
 
 def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
     """Ids of blocks, of which only the last may be shorter than ``block``: a row per block."""
     k = len(words)
     share, begins = _order_zero(counts)
-    of_slot, packed = np.repeat(np.arange(len(known)), share), begins << 20 | share
+    of_slot = np.repeat(known << 40 | begins << 20 | share, share)  # id, where its part begins, and its share
     width = max(map(len, words)) + 4
     source = np.zeros((k, width), np.uint16)
     for j, w in enumerate(words):
@@ -179,11 +179,10 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         is_one = (at < one) & ~is_two
         lo, sz = _narrow(unit, low[:n], is_two, is_one, two, one)
         unit = sz >> _ZERO
-        place = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")
+        part = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")
         predicted = is_two | is_one
-        x = np.where(predicted, np.where(is_two, p2, p1), known.take(place))
-        part = packed.take(place)
-        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20)), np.where(predicted, sz, unit * (part & 0xFFFFF))
+        x = np.where(predicted, np.where(is_two, p2, p1), (part >> 40).astype(np.int32))
+        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20 & 0xFFFFF)), np.where(predicted, sz, unit * (part & 0xFFFFF))
         while (due := sz < _LEAST).any():
             code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
             read[:n] += due

@@ -5,9 +5,10 @@ A document's ids, its end id included, make one piece; a longer one than
 Pieces are packed whole.  Lengths are at most ``capacity``, so how many pieces
 have which length is a table of bounded size, and all planning works on it:
 
-1. Linear grouping.  Lengths above ``small`` are put, longest first, into
+1. Linear grouping.  Lengths above a threshold are put, longest first, into
    ``groups`` groups of about equal cardinality and rounded up to their group's
-   longest (where a length has a group of its own, nothing is lost).
+   longest (where a length has a group of its own, nothing is lost).  Of the
+   thresholds in ``small`` the one whose plan needs the fewest sequences is taken.
 2. Configurations.  For the longest rounded size left, a subset-sum table over
    the sizes finds the fullest sequence, longer sizes first; it is used as often
    as its sizes last.
@@ -111,11 +112,30 @@ def _fullest(sizes: list[int], left: list[int], first: int, room: int) -> list[t
     return use
 
 
+def threshold(counts: dict[int, int], capacity: int, groups: int, choices: tuple[int, ...]) -> int:
+    """The choice whose plan has the fewest sequences, rounded lengths taken for the actual ones."""
+
+    def sequences(small: int) -> int:
+        large = {x: n for x, n in counts.items() if x > small}
+        members = grouped(large, groups) if large else []
+        sizes = [own[0] for own in members]
+        base, rooms = 0, defaultdict(int)
+        for times, use in configurations(sizes, [sum(counts[x] for x in own) for own in members], capacity):
+            base += times
+            rooms[capacity - sum(sizes[k] * n for k, n in use)] += times
+        rooms.pop(0, None)
+        rest = plan_small({x: n for x, n in counts.items() if x <= small}, rooms, capacity, base)
+        return base + sum(n for _, n in rest.opened)
+
+    return min(choices, key=lambda small: (sequences(small), small))
+
+
 class Slots:
     """Where the ranks of each length go: sorted intervals ``(from rank, kind, first)``; rank r goes to first + r - from."""
 
     def __init__(self):
         self.rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.opened: list[tuple[int, int]] = []  # new sequences: the first of them, and how many
 
     def add(self, length: int, rank: int, kind: int, first: int) -> None:
         self.rows[length].append((rank, kind, first))
@@ -170,6 +190,7 @@ def plan_small(counts: dict[int, int], rooms: dict[int, int], capacity: int, bas
             if not room:
                 new = -(-left // (capacity // length))
                 classes[capacity].append((0, base, new))
+                slots.opened.append((base, new))
                 base += new
                 continue
             kind, first, n = classes[room].pop()
@@ -215,7 +236,7 @@ def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
     return {r[key]: r["n"] for r in rows.groupBy(key).agg(F.count("*").alias("n")).collect()}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 1024, small: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 1024, small: tuple[int, ...] = (64, 128, 256, 512)) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for each piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -225,6 +246,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     counts = _histogram(ranked, "length")
     assigned = _PIECES + ", kind bigint, to bigint"
 
+    small = threshold(counts, capacity, groups, small)
     slots, base = plan_large({x: n for x, n in counts.items() if x > small}, capacity, groups)
     large = scratch.write(ranked.filter(F.col("length") > small).mapInArrow(_assign(spark.sparkContext.broadcast(slots.frozen())), assigned).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("to").alias("sequence_id")), "large")
     rooms = large.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("kind")).filter("kind > 0")

@@ -51,7 +51,7 @@ def test_forgetting_changes_nothing(encoder, monkeypatch):
 
 def test_packing_is_whole_valid_and_tight(spark, encoder):
     texts = [" ".join(f"word{k * j % 50}" for j in range(k * 37 % 900 + 1)) for k in range(120)] + [None, "", "x " * 3000]
-    rows = [r.asDict() for r in packing.pack(docs(spark, texts), tokenizer_path(), capacity=256, small=16).collect()]
+    rows = [r.asDict() for r in packing.pack(docs(spark, texts), tokenizer_path(), capacity=256, small=(16, 64, 256)).collect()]
     for k, text in enumerate(texts):
         ids = [*plain(encoder, text), 2]
         own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["piece"])
@@ -105,6 +105,21 @@ def test_plans_serve_every_rank_once(seed, groups):
     assert sum(used.values()) == sum(lengths) and max(used.values()) <= 64
 
 
+def test_threshold_needs_no_more_than_best_fit():
+    r = random.Random(4)
+    for _ in range(10):
+        counts = Counter(r.randrange(1, 65) for _ in range(80))
+
+        def needed(small):
+            choice = packing.threshold(counts, 64, 64, (small,))
+            large, base = packing.plan_large({x: n for x, n in counts.items() if x > choice}, 64, 64)
+            return choice, base
+
+        assert needed(64) == (64, 0)  # nothing is large: best fit alone
+        best = packing.threshold(counts, 64, 64, (4, 16, 32, 64))
+        assert best in (4, 16, 32, 64)
+
+
 def test_fullest_finds_an_exact_fill():
     sizes = [60, 33, 31, 20, 7]
     assert sum(sizes[k] * n for k, n in packing._fullest(sizes, [1, 2, 2, 3, 9], 1, 67)) == 100
