@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,9 @@ class _Lists:
 _regular = re.compile("[ \n]?[!-~\xa1-\u024f](?:[!-~\xa1-\u024f\t]*[!-~\xa1-\u024f])?").fullmatch
 
 
+_LETTER, _PUNCTUATION = (np.array([c < 128 and test(chr(c)) for c in range(256)], bool) for test in (str.isalpha, lambda c: c in string.punctuation))
+
+
 def encoder(path: str) -> Encoder:
     """One for all tasks of a worker, as what it has learned serves them all; it is held under its path."""
     return held(path, lambda: Encoder(path))
@@ -90,8 +94,9 @@ class Encoder:
 
     Such a tokenizer splits a text into parts by an expression and encodes each
     for itself; no part goes beyond a space or a newline between two characters that
-    are no white space.  So words, which begin with each space and newline, are looked
-    up where they are known, and only new words reach the tokenizer, many as one text.
+    are no white space, nor from a letter to punctuation.  So words, which begin with
+    each space, newline and punctuation behind a letter, are looked up where they are
+    known, and only new words reach the tokenizer, many as one text.
     Words are found by hashes and compared byte by byte.  A text with uncommon
     characters or with more white space in a row is encoded as one.
     """
@@ -144,17 +149,18 @@ class Encoder:
             self._forget_words()
         data, offsets = flat(texts)
         begins = (data == 32) | (data == 10)
+        begins[1:] |= _PUNCTUATION[data[1:]] & _LETTER[data[:-1]]
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         hashes = Rolling(BYTE[data], 0).of(starts, ends)
         at = self.words.find(hashes)
-        if (at < 0).any():
-            new, where = np.unique(hashes[at < 0], return_index=True)
-            where = np.flatnonzero(at < 0)[where]
-            raw = data.tobytes()
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            new, where = np.unique(hashes[missed], return_index=True)
+            where, raw = missed[where], data.tobytes()
             self._learn_words([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], new)
-            at = self.words.find(hashes)
+            at[missed] = self.words.find(hashes[missed])
         ids, counts = self.word_ids.take(at)
         before = np.searchsorted(starts, offsets)
         edges = np.concatenate([[0], np.cumsum(counts)])[before]
