@@ -141,10 +141,12 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
         out[used[:n]] = lo >> 32  # is overwritten if it was not due
         used[:n] += due
         lo, sz = _shifted(lo, sz, due)
-        while (due := sz < _LEAST).any():
-            out[used[:n][due]] = lo[due] >> 32
-            used[:n] += due
-            lo, sz = _shifted(lo, sz, due)
+        at = np.flatnonzero(sz < _LEAST)
+        while len(at):  # a few blocks have another word due
+            out[used[at]] = lo[at] >> 32
+            used[at] += 1
+            lo[at], sz[at] = _shifted(lo[at], sz[at], np.True_)
+            at = at[sz[at] < _LEAST]
         low[:n], size[:n] = lo, sz
         mixer.update(x, is_two, one_right)
     for shift in (32, 16, 0):  # what tells the last interval
@@ -183,10 +185,16 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         predicted = is_two | is_one
         x = np.where(predicted, np.where(is_two, p2, p1), (part >> 40).astype(np.int32))
         lo, sz = np.where(predicted, lo, lo + unit * (part >> 20 & 0xFFFFF)), np.where(predicted, sz, unit * (part & 0xFFFFF))
-        while (due := sz < _LEAST).any():
-            code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
-            read[:n] += due
-            lo, sz = _shifted(lo, sz, due)
+        due = sz < _LEAST
+        code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
+        read[:n] += due
+        lo, sz = _shifted(lo, sz, due)
+        at = np.flatnonzero(sz < _LEAST)
+        while len(at):
+            code[at] = (code[at] << 16 & _LOW) | source[read[at]]
+            read[at] += 1
+            lo[at], sz[at] = _shifted(lo[at], sz[at], np.True_)
+            at = at[sz[at] < _LEAST]
         low[:n], size[:n] = lo, sz
         out[t, :n] = x
         mixer.update(x, is_two, x == p1)
