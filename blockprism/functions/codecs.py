@@ -225,7 +225,10 @@ _M64 = (1 << 64) - 1
 
 
 def build_block(seed: int, state: int, index: int) -> bytes:
-    """State 0 is zeros; else its low two bits choose how eight words are made of seed, stamp and index."""
+    """State 0 is zeros; else its low two bits choose how eight words are made of seed, stamp and index.
+
+    The words of each kind are fixed values, as blocks written elsewhere have to compare equal.
+    """
     kind, stamp = state & 3, state >> 2
     a, b, c = seed & _M64, stamp & _M64, index & _M64
     d = (a ^ b ^ (index * 0x9E3779B185EBCA87)) & _M64
