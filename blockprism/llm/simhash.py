@@ -17,8 +17,10 @@ exact, and goes to many tasks.
 
 ``similar_groups`` adds a check of the texts themselves: fingerprints choose
 candidates, and a link holds if the sets of word shingles have the similarity asked
-for.  Its nodes are distinct texts; each link that the search in breadth found is
-checked, again no pairs within a group.
+for.  Its nodes are distinct texts.  The trees only say which texts may link at all;
+a component of them is searched in breadth again, by both fingerprints and sets, and
+a text that fails with one is still asked with the others.  A large component is cut
+into chunks, and each pair of chunks is a search of its own.
 
 A null text or one without words has fingerprint zero, and links like any other.
 Repeated rows give repeated results.  A null id takes part in linking, but is
@@ -40,6 +42,8 @@ from blockprism.llm.components import components
 
 #: Tables of the first covering family, over all families of fingerprints, have numbers below this.
 _TABLES = 1 << 16
+#: Shingle hashes of a chunk of a component, about.
+_CHUNK_BYTES = 32 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -101,15 +105,65 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(similarity: float):
+def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest over texts, of edges that are within the radius in one family (a column of ``prints``) and alike."""
+    edges, sizes = [], np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    left = np.arange(len(sets))
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            one = frontier.pop()
+            size, own = sizes[left], sizes[one]
+            may = np.flatnonzero(np.minimum(size, own) >= similarity * np.maximum(size, own))
+            may = may[(np.bitwise_count(prints[left[may]] ^ prints[one]) <= radius).any(axis=1)]
+            good = may[_alike(sets[one], every, starts[left[may]], size[may], similarity)]
+            if len(good):
+                found, left = left[good], np.delete(left, good)
+                edges += [(one, x) for x in found]
+                frontier += list(found)
+    return edges
+
+
+def _alike(own: np.ndarray, every: np.ndarray, starts: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the ascending set is as similar as asked to each of those that lie in ``every``; a piece of them at a time."""
+    both = np.zeros(len(sizes), np.int64)
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes) and len(own):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+        n = sizes[at:to]
+        first = np.cumsum(n) - n
+        values = every[np.repeat(starts[at:to] - first, n) + np.arange(n.sum())]
+        hits = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        counted = np.concatenate([[0], np.cumsum(hits)])
+        both[at:to] = counted[first + n] - counted[first]
+        at = to
+    return both >= similarity * (len(own) + sizes - both)
+
+
+def _search(radius: int, similarity: float):
+    """Over rows sorted by (root, i, j): the verified edges of each such group, which may span batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, nodes, prints, sets = None, [], [], []
+
+        def closed():
+            edges = verified(np.array(prints, np.int64).view(np.uint64), sets, radius, similarity) if len(nodes) > 1 else []
+            if edges:
+                a, b = (np.array(nodes, np.int64)[list(x)] for x in zip(*edges, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for *key, node, fps, shingles in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != open_key:
+                    yield from closed()
+                    open_key, nodes, prints, sets = key, [], [], []
+                nodes.append(node)
+                prints.append(fps)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        yield from closed()
 
     return run
 
@@ -222,13 +276,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 3, seed: int = 42, families: int = 8, radius: int = 3, bucket: int = 8192) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 3, seed: int = 42, families: int = 8, radius: int = 3, bucket: int = 8192, chunk: int = 4096) -> DataFrame:
     """``(doc_id, component_id)`` for each row; ids have to be unique and not null.
 
     Candidates have fingerprints of ``print_shingle`` words within ``radius`` in one
     of several ``families``, which err independently; a link holds if the texts'
-    sets of ``shingle``-word shingles have at least this Jaccard similarity.  Equal
-    texts are one node.
+    sets of ``shingle``-word shingles have at least this Jaccard similarity.  Groups
+    are those that all candidate pairs give.  Equal texts are one node.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
@@ -241,13 +295,16 @@ def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shin
     ends = lookup(near, first.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"])
     ends = lookup(ends, first.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"]).select("x", "y")
     equal = lookup(each, first, ["family", "fp"]).filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
-    both = ends.unionByName(equal).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    asked = scratch.write(both.distinct(), "asked")
-    wanted = scratch.write(asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct().withColumn("wanted", F.lit(True)), "wanted")
-    sets = scratch.write(lookup(texts, wanted, ["node"]).filter("wanted").select("node", "text").mapInArrow(_sets(shingle), "node bigint, shingles binary"), "sets")
-    x, y = (sets.withColumnsRenamed({"node": c, "shingles": f"{c}_shingles"}) for c in "xy")
-    alike = asked.join(x, "x").join(y, "y").select("x", "y", "x_shingles", "y_shingles").mapInArrow(_alike(similarity), "a bigint, b bigint")
+    may = scratch.write(components(ends.unionByName(equal).toDF("a", "b"), scratch, "may"), "may_link")
+    sets = scratch.write(lookup(texts, may, ["node"]).filter("root is not null").select("node", "text").mapInArrow(_sets(shingle), "node bigint, shingles binary"), "sets")
+    held = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.octet_length("shingles")) / _CHUNK_BYTES)).cast("bigint")
+    groups = scratch.write(lookup(sets, may, ["node"]).groupBy("root").agg(held.alias("chunks")), "groups")
+    rows_of = lookup(lookup(may, groups, ["root"]), nodes.select("node", "fps"), ["node"]).join(sets, "node")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    dealt = rows_of.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("o", other)
+    dealt = dealt.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "fps", "shingles")
+    alike = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_search(radius, similarity), "a bigint, b bigint")
     roots = scratch.write(components(alike, scratch), "roots")
-    scratch.drop("first", "near", "asked", "wanted", "sets")
+    scratch.drop("first", "near", "may_link", "sets", "groups")
     named = scratch.write(lookup(nodes.select("fp", "th", "node"), roots, ["node"]).select("fp", "th", F.coalesce("root", "node").alias("component_id")), "named")
     return lookup(rows.select("doc_id", "fp", "th"), named, ["fp", "th"]).select("doc_id", "component_id")

@@ -105,6 +105,46 @@ def test_similar_groups_hold_the_similarity(spark):
     assert all(found[a] == found[b] for a, b in direct) and len(direct) > 15
 
 
+def all_pairs(texts):
+    """Each text's component by all pairs within 3 bits in one of eight families that share 0.8 of their shingles."""
+    prints = np.array([simhash.fingerprints(t.encode(), families=8) for t in texts], np.uint64)
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    near = [np.flatnonzero((np.bitwise_count(prints[:a] ^ prints[a]) <= 3).any(axis=1)) for a in range(len(texts))]
+    pairs = [(a, int(b)) for a in range(len(texts)) for b in near[a] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return roots_of([*((k, k) for k in range(len(texts))), *pairs])
+
+
+def shared_line(r):
+    """Texts of a line that fills their fingerprints and of passages of their own, each with two near copies."""
+    texts = []
+    for k in range(60):
+        words = [f"t{k}w{j}" for j in range(60)]
+        for c in range(3):
+            copy = list(words)
+            if c:
+                copy[r.randrange(60)] = f"c{c}"
+            texts.append("all rights reserved by the owners of this site " * 60 + " ".join(copy))
+    return texts
+
+
+def variants(r):
+    """Over 1000 of one text, near it but many not near one another."""
+    words = [f"w{j}" for j in range(400)]
+    return [" ".join(f"v{k}" if r.random() < 0.012 else w for w in words) for k in range(1100)]
+
+
+@pytest.mark.parametrize("make", [shared_line, variants])
+@pytest.mark.parametrize("chunk", [4096, 70])
+def test_similar_groups_match_all_pairs(spark, make, chunk):
+    r = random.Random(4)
+    texts = make(r)
+    r.shuffle(texts)
+    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs(spark, texts), id_col="doc_id", chunk=chunk).collect()}
+    expected = all_pairs(texts)
+    assert found == expected
+    assert len(set(expected.values())) < len(texts) - 60
+
+
 def removed(texts, window=35):
     seen = Counter()
     split = [(t or "").encode().split() for t in texts]
