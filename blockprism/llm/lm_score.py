@@ -1,22 +1,24 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models, of the target corpus and of the background corpus, share
-one vocabulary and one smoothing, so the difference of their losses on a token
-tells how much rather the target would have written it.  A document's score is the
-mean difference over its tokens, the end of text included: low is like the target.
+one smoothing, so the difference of their losses on a token tells how much rather
+the target would have written it.  A document's score is the mean difference over
+its tokens, the end of text included: low is like the target.
 
-The vocabulary are the ``vocabulary`` slots that a word's 64-bit hash falls into;
-pairs fall into ``pairs`` slots.  Both counts are taken over all documents of
-either corpus: tasks send their non-zero slots, Spark adds them, and what is added
-is bounded by the slots.  With c the counts of a model, N its tokens, V the slots:
+Counts are of words and of pairs (history, word), each by its own 64-bit hash, in
+tables that grow with the corpora.  Tasks add what they can before the shuffle.
+Each distinct pair gets its loss under both models once, and documents' distinct
+pairs are joined with these losses by a shuffle.  With c the counts of a model, N
+its tokens, V ``vocabulary`` or the number of distinct words, whichever is more:
 
     p(w)     = (c(w) + 1) / (N + V)
     p(w | h) = (c(h, w) + ``prior`` * p(w)) / (c(h) + ``prior``)
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and begin-of-text is a history
-like any word.  A null or empty text has one token, the end.  Ids may be null or
-repeated; each row is scored for itself.  With an empty target the target model is
-uniform.
+like any word.  A null or empty text has one token, the end.  A word is a history
+as often as it occurs, and a begin as often as an end, so one count serves both.
+Ids may be null or repeated; each row is scored for itself.  With an empty target
+the target model is uniform.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import flat, pieces
+from blockprism.llm.common import Scratch, flat, lookup, pieces, unique_keyed
 from blockprism.llm.substring import word_hashes
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -49,79 +51,88 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def slots(found: np.ndarray, begins: np.ndarray, vocabulary: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token that is predicted (all but begins): its slot, its history's, its pair's."""
-    predicted = np.ones(len(found), bool)
-    predicted[begins[:-1]] = False
-    now = np.flatnonzero(predicted)
+def predicted(found: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token that is predicted (all but begins): its hash, its history's, its pair's."""
+    wanted = np.ones(len(found), bool)
+    wanted[begins[:-1]] = False
+    now = np.flatnonzero(wanted)
     word, history = found[now], found[now - 1]
-    pair = (history * np.uint64(0x9E3779B97F4A7C15) ^ (word >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
-    return (word % np.uint64(vocabulary)).astype(np.int64), (history % np.uint64(vocabulary)).astype(np.int64), (pair % np.uint64(pairs)).astype(np.int64)
-
-
-def _count(vocabulary: int, pairs: int):
-    """``(slot, n)``: words from 0, histories from ``vocabulary``, pairs from twice that; one row per slot and flush."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in pieces(batches, 0, _PIECE):
-            found, begins = tokens(batch.column(0))
-            word, history, pair = slots(found, begins, vocabulary, pairs)
-            held += [word, history + vocabulary, pair + 2 * vocabulary]
-            size += 3 * len(word)
-            if size > 6_000_000:
-                yield _flush(held)
-                held, size = [], 0
-        if held:
+    pair = (history * np.uint64(0x9E3779B97F4A7C15)) ^ (word >> np.uint64(32)) ^ (word << np.uint64(32))
+    pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return word, history, pair ^ (pair >> np.uint64(32))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(pair, history, word, n)``, one row per pair and flush."""
+    held: list[tuple] = []
+    size = 0
+    for batch in pieces(batches, 0, _PIECE):
+        word, history, pair = predicted(*tokens(batch.column(0)))
+        held.append((pair, history, word))
+        size += len(word)
+        if size > 2_000_000:
             yield _flush(held)
+            held, size = [], 0
+    if held:
+        yield _flush(held)
 
-    return run
 
+def _flush(held: list[tuple]) -> pa.RecordBatch:
+    pair, history, word = (np.concatenate(x) for x in zip(*held, strict=True))
+    pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+    columns = [x.view(np.int64) for x in (pair, history[first], word[first])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names=["pair", "history", "word", "n"])
 
-def _flush(held: list[np.ndarray]) -> pa.RecordBatch:
-    slot, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
 
+def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row_key, pair, n)``, one row per document and distinct pair."""
+    for batch in pieces(batches, 1, _PIECE):
+        found, begins = tokens(batch.column(1))
+        pair = predicted(found, begins)[2]
+        of = np.repeat(np.arange(batch.num_rows), np.diff(begins) - 1)
+        order = np.lexsort((pair, of))
+        pair, of = pair[order], of[order]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (pair[1:] != pair[:-1])]))
+        n = np.diff(np.append(starts, len(pair)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[starts])), pa.array(pair[starts].view(np.int64)), pa.array(n)], names=["row_key", "pair", "n"])
 
-class Bigrams:
-    """Counts of one model in arrays of fixed size."""
 
-    def __init__(self, slot: np.ndarray, n: np.ndarray, vocabulary: int, pairs: int):
-        counts = np.zeros(2 * vocabulary + pairs, np.float32)
-        counts[slot] = n
-        self.words, self.histories, self.pairs = counts[:vocabulary], counts[vocabulary : 2 * vocabulary], counts[2 * vocabulary :]
-        self.total = float(self.words.sum(dtype=np.float64))
+def counts(target: DataFrame, background: DataFrame, others: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``(pair, history, word, t, b)``: how often each pair of any table occurs in the first and in the second."""
 
-    def loss(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray, prior: float) -> np.ndarray:
-        """Bits per token."""
-        alone = (self.words[word] + 1.0) / (self.total + len(self.words))
-        return -np.log2((self.pairs[pair] + prior * alone) / (self.histories[history] + prior))
+    def one(texts: DataFrame, t: int, b: int) -> DataFrame:
+        rows = texts.mapInArrow(_count, "pair bigint, history bigint, word bigint, n bigint")
+        return rows.select("pair", "history", "word", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
 
+    rows = one(target, 1, 0).unionByName(one(background, 0, 1))
+    for other in others:
+        rows = rows.unionByName(one(other, 0, 0))
+    return scratch.write(rows.groupBy("pair", "history", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pairs")
 
-def learn(texts: DataFrame, vocabulary: int, pairs: int) -> Bigrams:
-    """From a table's column ``text``; at most one row per slot comes to the driver."""
-    rows = texts.select("text").mapInArrow(_count(vocabulary, pairs), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    return Bigrams(rows["slot"].to_numpy(), rows["n"].to_numpy(), vocabulary, pairs)
 
+def losses(pairs: DataFrame, scratch: Scratch, vocabulary: int, prior: float) -> DataFrame:
+    """``(pair, target_bits, background_bits)`` for each distinct pair."""
+    words = scratch.write(pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
+    distinct, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    found = lookup(pairs, words.select("word", F.col("t").alias("wt"), F.col("b").alias("wb")), ["word"])
+    found = lookup(found, words.select(F.col("word").alias("history"), F.col("t").alias("ht"), F.col("b").alias("hb")), ["history"])
 
-def _score(models, vocabulary: int, pairs: int, prior: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = models.value
-        for batch in pieces(batches, 1, _PIECE):
-            found, begins = tokens(batch.column(1))
-            at = slots(found, begins, vocabulary, pairs)
-            starts = begins[:-1] - np.arange(batch.num_rows)
-            count = np.diff(begins) - 1
-            a, b = (np.add.reduceat(m.loss(*at, prior), starts, dtype=np.float64) / count for m in (target, background))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(a), pa.array(b), pa.array(a - b)], names=["doc_id", "n_tokens", "target_bits", "background_bits", "difference"])
+    def bits(c: str, total: int):
+        alone = (F.col(f"w{c}") + 1.0) / float(total + max(vocabulary, distinct))
+        return -F.log2((F.col(c) + prior * alone) / (F.col(f"h{c}") + prior))
 
-    return run
+    return scratch.write(found.select("pair", bits("t", totals[0]).alias("target_bits"), bits("b", totals[1]).alias("background_bits")), "losses")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 18, pairs: int = 1 << 22, prior: float = 8.0) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 18, prior: float = 8.0) -> DataFrame:
     """``(doc_id, n_tokens, target_bits, background_bits, difference)`` for each document."""
-    models = tuple(learn(corpus.select(F.col(text_col).alias("text")), vocabulary, pairs) for corpus in (target, background))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(shared, vocabulary, pairs, prior), "doc_id bigint, n_tokens bigint, target_bits double, background_bits double, difference double")
+    scratch = Scratch(docs.sparkSession)
+    rows = unique_keyed(docs, scratch, id_col, text_col)
+    own = rows.select("row_key", "text").mapInArrow(_document_pairs, "row_key bigint, pair bigint, n bigint")
+    corpora = [c.select(F.col(text_col).alias("text")) for c in (target, background)]
+    seen = any(docs.sameSemantics(c) for c in (target, background))  # else documents may have pairs that no corpus has
+    of = losses(counts(*corpora, [] if seen else [rows.select("text")], scratch), scratch, vocabulary, prior)
+    each = lookup(own, of, ["pair"]).groupBy("row_key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target_bits")).alias("a"), F.sum(F.col("n") * F.col("background_bits")).alias("b"))
+    sums = scratch.write(each, "sums")
+    a, b = F.col("a") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
+    return lookup(rows.select("row_key", "doc_id"), sums, ["row_key"]).select("doc_id", "n_tokens", a.alias("target_bits"), b.alias("background_bits"), (a - b).alias("difference"))

@@ -211,6 +211,19 @@ def test_scores_match_a_plain_bigram_model(spark):
     assert np.allclose([r["difference"] for r in found], [bits(a, t) - bits(b, t) for t in scored], atol=1e-4)
 
 
+def test_counts_tell_all_words_and_pairs_apart(spark):
+    texts = random_texts(5, 60, 6000, 300)
+    assert len({w for t in texts for w in t.split()}) > 3000
+    tokens = [["^", *t.split(), "^"] for t in texts]
+    words = Counter(w for x in tokens for w in x[1:])
+    pairs = Counter(p for x in tokens for p in zip(x, x[1:]))
+    total = words.total() + (1 << 18)
+    expected = [np.mean([np.log2((words[h] + 8) / (pairs[h, w] + 8 * (words[w] + 1) / total)) for h, w in zip(x, x[1:])]) for x in tokens]
+    table = docs(spark, texts)
+    found = lm_score.cross_entropy_difference(table, table.limit(0), table).orderBy("doc_id").collect()
+    assert np.allclose([r["background_bits"] for r in found], expected, atol=1e-4)
+
+
 # URLs
 
 
