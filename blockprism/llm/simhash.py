@@ -15,12 +15,16 @@ in numpy and emits a tree per group, never all pairs.  A bucket of more than
 ``bucket`` fingerprints is dealt again by a second covering family, which is as
 exact, and goes to many tasks.
 
-``similar_groups`` adds a check of the texts themselves: fingerprints choose
-candidates, and a link holds if the sets of word shingles have the similarity asked
-for.  Its nodes are distinct texts.  The trees only say which texts may link at all;
-a component of them is searched in breadth again, by both fingerprints and sets, and
-a text that fails with one is still asked with the others.  A large component is cut
-into chunks, and each pair of chunks is a search of its own.
+``similar_groups`` is for a similarity of the texts themselves, that of their sets
+of word shingles.  A set's SimHash differs from another's in a share of bits that
+follows from how alike the sets are, 0.15 at a similarity of 0.8, so fingerprints of
+32 bits are within 3 bits of one another a quarter of the time; eight of them, each
+covered by its 15 masks, miss less than a tenth of the pairs just at 0.8 and few
+above.  Pairs that meet in a bucket are candidates if 128 bits of fingerprint bear
+it out; components of candidates are then searched in breadth by the sets: every
+pair of a component is asked, unless the two are already tied, and a text that
+fails with one is still asked with the others.  A large component is cut into
+chunks, and each pair of chunks is a search of its own.
 
 A null text or one without words has fingerprint zero, and links like any other.
 Repeated rows give repeated results.  A null id takes part in linking, but is
@@ -29,6 +33,7 @@ never a component's id unless the component has no other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,76 +42,174 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import Scratch, as_bytes, lookup, pieces
+from blockprism.llm.common import Scratch, as_bytes, flat, lookup, pieces
 from blockprism.llm.components import components
+from blockprism.llm.rolling import Rolling
+from blockprism.llm.substring import word_hashes
 
 #: Tables of the first covering family, over all families of fingerprints, have numbers below this.
 _TABLES = 1 << 16
 #: Shingle hashes of a chunk of a component, about.
-_CHUNK_BYTES = 32 << 20
+_CHUNK_BYTES = 8 << 20
+#: Sets of the similarity asked for differ in at most so many standard deviations more bits than the mean.
+_SURE = 3.2
+#: Buckets of up to so many rows are compared side by side, larger ones each for itself.
+_SMALL = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWERED = np.frombuffer(_LOWER, np.uint8)
 
 
-def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, families: int = 1) -> list[int]:
-    """The text's fingerprint; further families are of the same shingles, their hashes mixed anew."""
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     words = text.translate(_LOWER).split()  # of bytes: at \\x20 and \\x09-\\x0D only
     if not words:
-        return [0] * families
+        return 0
     joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     count = max(1, len(words) - shingle + 1)
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in joined), np.uint64, count)
-    out = []
-    for family in range(families):
-        if family:
-            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            hashes ^= hashes >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, count, 1 << 15):
-            ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little"))
-    return out
+    ones = np.zeros(64, np.int64)
+    for at in range(0, count, 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            found = np.array([fingerprints(t, shingle, seed)[0] for t in as_bytes(batch.column(1))], np.uint64)
+            found = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
 
-def _hashed(shingle: int, seed: int, families: int):
-    """The fingerprints of all families, and a hash of the whole text."""
+def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """Hashes of each text's distinct word shingles, ascending; a text of fewer words is one shingle, of none none."""
+    data, offsets = flat(texts)
+    hashes, before = word_hashes(_LOWERED[data], offsets)
+    rolling, before = Rolling(hashes, 1), before.tolist()
+    out = []
+    for a, b in zip(before, before[1:], strict=False):
+        starts = np.arange(a, max(a + (b > a), b - shingle + 1))
+        out.append(np.unique(rolling.of(starts, np.minimum(starts + shingle, b))))
+    return out
+
+
+def set_prints(hashes: np.ndarray, words: int) -> list[int]:
+    """SimHash of a set of hashes, ``words`` times 64 bits, each from the hashes mixed anew."""
+    out = []
+    for _ in range(words):
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ (hashes >> np.uint64(32))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def _hashed(shingle: int, words: int):
+    """Each text's fingerprints, and 128 bits of a hash of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            texts = as_bytes(batch.column(1))
-            found = np.array([fingerprints(t, shingle, seed, families) for t in texts], np.uint64).reshape(-1, families)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.view(np.int64).reshape(-1)), families).cast(pa.list_(pa.int64()))
-            whole = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(whole)], names=["doc_id", "fps", "th"])
+        for batch in pieces(batches, 1, 1 << 20):
+            sets = shingle_sets(batch.column(1), shingle)
+            prints = np.array([set_prints(x, words) for x in sets], np.uint64).reshape(-1, words).view(np.int64)
+            whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), words).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *(pa.array(np.ascontiguousarray(whole[:, k])) for k in range(2))], names=["doc_id", "fps", "th", "tl"])
 
     return run
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Hashes of a text's distinct word shingles, ascending; a text of fewer words is one shingle, of none none."""
-    words = text.translate(_LOWER).split()
-    joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else []
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64))
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), shingle)], pa.binary())], names=["node", "shingles"])
 
+    return run
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """How many of so many bits differ at most, but for one pair in a thousand, between sets of at least this similarity."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + _SURE * math.sqrt(bits * share * (1 - share)))
+
+
+def matched(half: np.ndarray, check: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between places of a bucket: all pairs that match where these are few, or else a forest of them.
+
+    ``half`` has the covered fingerprints, ``check`` a row of longer ones each.
+    """
+    n, firsts, seconds = len(half), [], []
+    step = max(1, (1 << 20) // n)
+    for at in range(0, n, step):
+        x, y = np.nonzero(np.bitwise_count(half[at : at + step, None] ^ half[None, :]) <= radius)
+        x += at
+        x, y = x[x < y], y[x < y]
+        good = np.bitwise_count(check[x] ^ check[y]).sum(axis=1) <= most
+        firsts.append(x[good])
+        seconds.append(y[good])
+        if sum(map(len, firsts)) > 4 * n:
+            return _forest(half, check, radius, most)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+def _forest(half: np.ndarray, check: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    firsts, seconds, left = [], [], np.arange(len(half))
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            one = frontier.pop()
+            near = np.bitwise_count(half[left] ^ half[one]) <= radius
+            near[near] = np.bitwise_count(check[left[near]] ^ check[one]).sum(axis=1) <= most
+            if near.any():
+                found, left = left[near], left[~near]
+                firsts.append(np.full(len(found), one))
+                seconds.append(found)
+                frontier += list(found)
+    return (np.concatenate(firsts), np.concatenate(seconds)) if firsts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _candidates(radius: int, most: int):
+    """Over rows sorted by (table, key, sub): edges of each bucket, which may span batches."""
 
-def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["node", "shingles"])
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = [np.asarray(batch.column(k)) for k in range(6)]
+            rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)] if kept else rows
+            changes = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)) + 1
+            open_from = int(changes[-1]) if len(changes) else 0
+            if open_from:
+                yield closed([x[:open_from] for x in rows], changes[:-1])
+            kept = [x[open_from:] for x in rows]
+        if kept:
+            yield closed(kept, np.empty(0, np.int64))
+
+    def closed(rows: list[np.ndarray], changes: np.ndarray) -> pa.RecordBatch:
+        table, _, _, node, *checks = rows
+        check = np.stack(checks, axis=1).view(np.uint64)
+        half = (check[:, 0] >> (np.uint64(32) * (table % _TABLES >> radius + 1 & 1).astype(np.uint64))).astype(np.uint32)
+        starts, sizes = np.r_[0, changes], np.diff(np.r_[0, changes, len(node)])
+        of = np.repeat(np.where(sizes <= _SMALL, np.arange(len(sizes)), -1), sizes)
+        pairs = []
+        for d in range(1, min(_SMALL, len(node))):
+            x = np.flatnonzero((of[d:] == of[:-d]) & (of[d:] >= 0) & (np.bitwise_count(half[d:] ^ half[:-d]) <= radius))
+            x = x[np.bitwise_count(check[x] ^ check[x + d]).sum(axis=1) <= most]
+            pairs.append((x, x + d))
+        for k in np.flatnonzero(sizes > _SMALL).tolist():
+            s, e = int(starts[k]), int(starts[k] + sizes[k])
+            x, y = matched(half[s:e], check[s:e], radius, most)
+            pairs.append((x + s, y + s))
+        a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return run
 
 
-def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """A forest over texts, of edges that are within the radius in one family (a column of ``prints``) and alike."""
+def verified(prints: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest over texts, of edges whose ends are alike; ``prints`` has a row of fingerprints each, ``most`` of whose bits may differ."""
     edges, sizes = [], np.array([len(x) for x in sets], np.int64)
     starts = np.cumsum(sizes) - sizes
     every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -117,7 +220,7 @@ def verified(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity
             one = frontier.pop()
             size, own = sizes[left], sizes[one]
             may = np.flatnonzero(np.minimum(size, own) >= similarity * np.maximum(size, own))
-            may = may[(np.bitwise_count(prints[left[may]] ^ prints[one]) <= radius).any(axis=1)]
+            may = may[np.bitwise_count(prints[left[may]] ^ prints[one]).sum(axis=1) <= most]
             good = may[_alike(sets[one], every, starts[left[may]], size[may], similarity)]
             if len(good):
                 found, left = left[good], np.delete(left, good)
@@ -132,7 +235,7 @@ def _alike(own: np.ndarray, every: np.ndarray, starts: np.ndarray, sizes: np.nda
     at, ends = 0, np.cumsum(sizes)
     while at < len(sizes) and len(own):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + (1 << 18), "right")))
         n = sizes[at:to]
         first = np.cumsum(n) - n
         values = every[np.repeat(starts[at:to] - first, n) + np.arange(n.sum())]
@@ -143,14 +246,14 @@ def _alike(own: np.ndarray, every: np.ndarray, starts: np.ndarray, sizes: np.nda
     return both >= similarity * (len(own) + sizes - both)
 
 
-def _search(radius: int, similarity: float):
+def _search(most: int, similarity: float):
     """Over rows sorted by (root, i, j): the verified edges of each such group, which may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, nodes, prints, sets = None, [], [], []
 
         def closed():
-            edges = verified(np.array(prints, np.int64).view(np.uint64), sets, radius, similarity) if len(nodes) > 1 else []
+            edges = verified(np.array(prints, np.int64).view(np.uint64), sets, most, similarity) if len(nodes) > 1 else []
             if edges:
                 a, b = (np.array(nodes, np.int64)[list(x)] for x in zip(*edges, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -168,11 +271,11 @@ def _search(radius: int, similarity: float):
     return run
 
 
-def covering_masks(radius: int, family: int = 0) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits; family 1 gives the positions' vectors in another order."""
+def covering_masks(radius: int, family: int = 0, bits: int = 64) -> list[int]:
+    """2^(radius+1) - 1 masks of so many bits; family 1 gives the positions' vectors in another order."""
     most = (1 << (radius + 1)) - 1
-    vector = [(i if family == 0 else i // 4 + 5 * i) % most + 1 for i in range(64)]
-    return [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() % 2) for v in range(1, most + 1)]
+    vector = [(i if family == 0 else i // 4 + 5 * i) % most + 1 for i in range(bits)]
+    return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() % 2) for v in range(1, most + 1)]
 
 
 def link(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -248,18 +351,35 @@ def _large_buckets(rows: DataFrame, scratch: Scratch, n: int, bucket: int) -> Da
     return None if large.isEmpty() else large
 
 
+def _buckets(rows: DataFrame, scratch: Scratch, n: int, radius: int, bucket: int, bits: int) -> DataFrame:
+    """Rows ``(table, key, sub, fp, ...)`` together by bucket; those of large buckets are dealt again by a second covering family."""
+    large = _large_buckets(rows, scratch, n, bucket)
+    if large is not None:
+        second = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius, 1, bits)))
+        rows = lookup(rows, large, ["table", "key"])
+        others = [c for c in rows.columns if c not in ("table", "key", "sub", "large")]
+        again = rows.filter("large").select("table", "key", *others, F.posexplode(second).alias("k", "sub")).select((F.col("table") + _TABLES * (F.col("k") + 1)).alias("table"), "key", "sub", *others)
+        rows = rows.filter("large is null").drop("large").unionByName(again)
+    return rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub")
+
+
 def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 8192) -> DataFrame:
     """Edges ``(family, a, b)`` that connect each family's distinct ``(family, fp)`` as all pairs within the radius do."""
     first = [F.struct((F.col("family") * (1 << (radius + 1)) + k).cast("int").alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]
     rows = prints.select("fp", F.explode(F.array(*first)).alias("x")).select("x.table", "x.key", F.lit(0).cast("bigint").alias("sub"), "fp")
-    large = _large_buckets(rows, scratch, prints.count(), bucket)
-    if large is not None:
-        second = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius, 1)))
-        rows = lookup(rows, large, ["table", "key"])
-        again = rows.filter("large").select("table", "key", "fp", F.posexplode(second).alias("k", "sub")).select((F.col("table") + _TABLES * (F.col("k") + 1)).alias("table"), "key", "sub", "fp")
-        rows = rows.filter("large is null").drop("large").unionByName(again)
-    dealt = rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub")
-    return dealt.mapInArrow(_link(radius), "family int, a bigint, b bigint")
+    return _buckets(rows, scratch, prints.count(), radius, bucket, 64).mapInArrow(_link(radius), "family int, a bigint, b bigint")
+
+
+def candidates(nodes: DataFrame, scratch: Scratch, words: int, radius: int, similarity: float, bucket: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect nodes ``(node, fps)`` as all pairs do that are within the radius in one half of a word, and near in that word and the next."""
+    tables = []
+    for family in range(2 * words):
+        fp, check = F.col("fps")[family // 2], F.col("fps")[(family // 2 + 1) % words]
+        half = F.shiftrightunsigned(fp, 32 * (family % 2)).bitwiseAND(F.lit((1 << 32) - 1))
+        tables += [F.struct(F.lit(family << (radius + 1) | k).alias("table"), half.bitwiseAND(F.lit(m)).alias("key"), half.alias("fp"), fp.alias("x"), check.alias("y")) for k, m in enumerate(covering_masks(radius, bits=32))]
+    rows = nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", F.lit(0).cast("bigint").alias("sub"), "node", "t.fp", "t.x", "t.y")
+    dealt = _buckets(rows, scratch, nodes.count(), radius, bucket, 32)
+    return dealt.select("table", "key", "sub", "node", "x", "y").mapInArrow(_candidates(radius, differing_bits(similarity, 128)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 3, bucket: int = 8192) -> DataFrame:
@@ -276,26 +396,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, print_shingle: int = 3, seed: int = 42, families: int = 8, radius: int = 3, bucket: int = 8192, chunk: int = 4096) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, radius: int = 3, bucket: int = 8192, chunk: int = 4096) -> DataFrame:
     """``(doc_id, component_id)`` for each row; ids have to be unique and not null.
 
-    Candidates have fingerprints of ``print_shingle`` words within ``radius`` in one
-    of several ``families``, which err independently; a link holds if the texts'
-    sets of ``shingle``-word shingles have at least this Jaccard similarity.  Groups
-    are those that all candidate pairs give.  Equal texts are one node.
+    Texts link if their sets of ``shingle``-word shingles have at least this Jaccard
+    similarity and one of their ``2 * words`` fingerprints of 32 bits are within
+    ``radius``, or if candidates tie them together anyhow.  Texts of equal sets, those
+    without a word among them, are one node.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
-    rows = scratch.write(texts.mapInArrow(_hashed(print_shingle, seed, families), "doc_id bigint, fps array<bigint>, th bigint"), "fingerprints")
-    rows = rows.withColumn("fp", F.col("fps")[0])
-    nodes = scratch.write(rows.groupBy("fp", "th").agg(F.min(F.struct("doc_id", "fps")).alias("o")).select("fp", "th", F.col("o.doc_id").alias("node"), "o.fps"), "nodes")
-    each = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
-    first = scratch.write(each.groupBy("family", "fp").agg(F.min("node").alias("first")), "first")
-    near = scratch.write(links(first.select("family", "fp"), scratch, radius, bucket).distinct(), "near")
-    ends = lookup(near, first.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"])
-    ends = lookup(ends, first.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"]).select("x", "y")
-    equal = lookup(each, first, ["family", "fp"]).filter("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
-    may = scratch.write(components(ends.unionByName(equal).toDF("a", "b"), scratch, "may"), "may_link")
+    rows = scratch.write(texts.mapInArrow(_hashed(shingle, words), "doc_id bigint, fps array<bigint>, th bigint, tl bigint"), "fingerprints")
+    nodes = scratch.write(rows.groupBy("th", "tl").agg(F.min(F.struct("doc_id", "fps")).alias("o")).select("th", "tl", F.col("o.doc_id").alias("node"), "o.fps"), "nodes")
+    near = scratch.write(candidates(nodes.select("node", "fps"), scratch, words, radius, similarity, bucket), "near")
+    may = scratch.write(components(near, scratch, "may"), "may_link")
     sets = scratch.write(lookup(texts, may, ["node"]).filter("root is not null").select("node", "text").mapInArrow(_sets(shingle), "node bigint, shingles binary"), "sets")
     held = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.octet_length("shingles")) / _CHUNK_BYTES)).cast("bigint")
     groups = scratch.write(lookup(sets, may, ["node"]).groupBy("root").agg(held.alias("chunks")), "groups")
@@ -303,8 +417,8 @@ def similar_groups(docs: DataFrame, *, id_col: str, text_col: str = "text", shin
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
     dealt = rows_of.withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("o", other)
     dealt = dealt.select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "fps", "shingles")
-    alike = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_search(radius, similarity), "a bigint, b bigint")
+    alike = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_search(differing_bits(similarity, 64 * words), similarity), "a bigint, b bigint")
     roots = scratch.write(components(alike, scratch), "roots")
-    scratch.drop("first", "near", "may_link", "sets", "groups")
-    named = scratch.write(lookup(nodes.select("fp", "th", "node"), roots, ["node"]).select("fp", "th", F.coalesce("root", "node").alias("component_id")), "named")
-    return lookup(rows.select("doc_id", "fp", "th"), named, ["fp", "th"]).select("doc_id", "component_id")
+    scratch.drop("near", "may_link", "sets", "groups")
+    named = scratch.write(lookup(nodes.select("th", "tl", "node"), roots, ["node"]).select("th", "tl", F.coalesce("root", "node").alias("component_id")), "named")
+    return lookup(rows.select("doc_id", "th", "tl"), named, ["th", "tl"]).select("doc_id", "component_id")

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,10 +45,16 @@ _LISTED = 2_000_000
 #: Tables of anchors grow with the corpus: beyond so many rows they join by a shuffle.
 _ANCHORS = 20_000
 _PIECE = 1 << 20
+#: Bytes of a word up to which its hash is a rolling sum.
+_LONG = 128
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the texts, and how many words come before each text (and in all)."""
+    """A hash of each word of the texts, and how many words come before each text (and in all).
+
+    Sums modulo 2^64 are blind to some pairs of very long strings, whatever the
+    base, so words of over ``_LONG`` bytes are hashed by XXH3.
+    """
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~_IS_SPACE[data]
@@ -56,7 +63,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     before[edges], after[edges - 1] = True, True
     starts, ends = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
-    return Rolling(BYTE[data], 0).of(starts, ends), np.searchsorted(starts, offsets, "left")
+    hashes = Rolling(BYTE[data], 0).of(starts, ends)
+    for k in np.flatnonzero(ends - starts > _LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return hashes, np.searchsorted(starts, offsets, "left")
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:

@@ -84,34 +84,47 @@ def test_near_duplicates_match_all_pairs(spark, bucket):
     assert any(k != c for k, c in roots.items())
 
 
-def test_similar_groups_hold_the_similarity(spark):
-    r = random.Random(8)
-    texts = random_texts(21, 15, 3000, 300) + [None, "", "one two", "one  two"]
-    for base in texts[:15]:
-        words = base.split()
-        for share in (0, 0.005, 0.02, 0.2):
-            texts.append(" ".join("x" if r.random() < share else w for w in words))
-    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
-
-    def alike(a, b):
-        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-
-    prints = [simhash.fingerprints((t or "").encode())[0] for t in texts]
-    n = range(len(texts))
-    allowed = roots_of([*((k, k) for k in n), *((a, b) for a in n for b in range(a) if alike(a, b))])
-    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs(spark, texts), id_col="doc_id").collect()}
-    assert sorted(found) == list(n) and all(allowed[k] == allowed[c] for k, c in found.items())
-    direct = [(a, b) for a in n for b in range(a) if alike(a, b) and ((prints[a] ^ prints[b]).bit_count() <= 3)]
-    assert all(found[a] == found[b] for a, b in direct) and len(direct) > 15
+def plain_sets(texts, shingle=5):
+    out, number = [], {}
+    for t in texts:
+        words = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        out.append({number.setdefault(tuple(words[k : k + shingle]), len(number)) for k in range(max(len(words) and 1, len(words) - shingle + 1))})
+    return out
 
 
 def all_pairs(texts):
-    """Each text's component by all pairs within 3 bits in one of eight families that share 0.8 of their shingles."""
-    prints = np.array([simhash.fingerprints(t.encode(), families=8) for t in texts], np.uint64)
-    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
-    near = [np.flatnonzero((np.bitwise_count(prints[:a] ^ prints[a]) <= 3).any(axis=1)) for a in range(len(texts))]
-    pairs = [(a, int(b)) for a in range(len(texts)) for b in near[a] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    return roots_of([*((k, k) for k in range(len(texts))), *pairs])
+    """Each text's component by all pairs that share 0.8 of their five-word shingles, and those pairs."""
+    sets = plain_sets(texts)
+    pairs = []
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+    return roots_of([*((k, k) for k in range(len(texts))), *pairs]), pairs
+
+
+def compared(spark, texts, **options):
+    """The groups found, each of which lies in one of all pairs; and the share of pairs that they hold."""
+    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs(spark, texts), id_col="doc_id", **options).collect()}
+    expected, pairs = all_pairs(texts)
+    assert sorted(found) == list(range(len(texts))) and all(expected[k] == expected[c] for k, c in found.items())
+    return found, sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+
+
+def edited(r):
+    """Copies at all similarities from 0.7 to 1, and equal ones."""
+    texts = random_texts(21, 15, 3000, 300) + [None, "", "one two", "one  two", "ONE two"]
+    for base in random_texts(22, 120, 3000, 400):
+        words = base.split()
+        for _ in range(2):
+            n = r.randrange(1 + len(words) // 40)
+            copy = list(words)
+            for at in (r.randrange(len(words)) for _ in range(n * bool(words))):
+                copy[at] = f"x{r.randrange(100)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words[: r.randrange(len(words) * 8 // 10, len(words))]) if len(words) > 5 else base)
+        texts.append(base)
+    return texts
 
 
 def shared_line(r):
@@ -128,21 +141,42 @@ def shared_line(r):
 
 
 def variants(r):
-    """Over 1000 of one text, near it but many not near one another."""
+    """Hundreds of one text, near it but many not near one another."""
     words = [f"w{j}" for j in range(400)]
-    return [" ".join(f"v{k}" if r.random() < 0.012 else w for w in words) for k in range(1100)]
+    return [" ".join(f"v{k}" if r.random() < 0.012 else w for w in words) for k in range(600)]
 
 
-@pytest.mark.parametrize("make", [shared_line, variants])
-@pytest.mark.parametrize("chunk", [4096, 70])
-def test_similar_groups_match_all_pairs(spark, make, chunk):
+@pytest.mark.parametrize("make", [edited, shared_line, variants])
+def test_similar_groups_against_all_pairs(spark, make):
     r = random.Random(4)
     texts = make(r)
     r.shuffle(texts)
-    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(docs(spark, texts), id_col="doc_id", chunk=chunk).collect()}
-    expected = all_pairs(texts)
-    assert found == expected
-    assert len(set(expected.values())) < len(texts) - 60
+    found, recall = compared(spark, texts)
+    assert recall > 0.95
+    if make is variants:
+        assert compared(spark, texts, chunk=70)[0] == found
+    if make is shared_line:
+        assert compared(spark, texts, bucket=40)[1] > 0.95
+
+
+def test_texts_behind_a_failed_link_are_asked(spark):
+    line, tails = "p q r " * 1000, [[f"{c}{k}" for k in range(100)] for c in "st"]
+    texts = [line + " ".join(x) for x in (tails[0], tails[1], [*tails[1][:50], "other", *tails[1][51:]])]
+    found, recall = compared(spark, texts)
+    assert found == {0: 0, 1: 1, 2: 1} and recall == 1
+
+
+def test_candidates_by_forest_connect_as_all_pairs():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (6, 2), np.uint64)
+    check = base[r.integers(0, 6, 300)] ^ (np.uint64(1) << r.integers(0, 64, (300, 2)).astype(np.uint64))
+    half = (check[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for radius in (0, 1, 2):
+        x, y = np.nonzero((np.bitwise_count(half[:, None] ^ half[None]) <= radius) & (np.bitwise_count(check[:, None] ^ check[None]).sum(axis=2) <= 5))
+        wanted = roots_of(zip(x.tolist(), y.tolist(), strict=True))
+        for find in (simhash.matched, simhash._forest):
+            a, b = find(half, check, radius, 5)
+            assert {**{k: k for k in range(300)}, **roots_of(zip(a.tolist(), b.tolist(), strict=True))} == wanted
 
 
 def removed(texts, window=35):
