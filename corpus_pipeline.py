@@ -41,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
     found = similar_groups(keyed, id_col="row_key")
-    first = scratch.write(found.filter("doc_id = component_id").select(F.col("doc_id").alias("row_key"), F.lit(True).alias("first")), "first")
-    return lookup(keyed, first, ["row_key"]).filter("first").select(*COLUMNS)
+    copies = scratch.write(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("row_key"), F.lit(True).alias("copy")), "copies")
+    return lookup(keyed, copies, ["row_key"]).filter("copy is null").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
