@@ -169,6 +169,29 @@ def _forest(half: np.ndarray, check: np.ndarray, radius: int, most: int) -> tupl
     return (np.concatenate(firsts), np.concatenate(seconds)) if firsts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def _tables(words: int, radius: int):
+    """A row for each node, half of a word and mask."""
+    masks = np.array(covering_masks(radius, bits=32), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                fps = np.array(batch.column(1).to_pylist(), np.int64).view(np.uint64)
+                half = np.stack([fps & np.uint64((1 << 32) - 1), fps >> np.uint64(32)], axis=2).reshape(len(fps), -1)  # by family
+                shape = (*half.shape, len(masks))
+                table = np.arange(2 * words)[:, None] << radius + 1 | np.arange(len(masks))
+                word = np.arange(2 * words) // 2
+
+                def of(x: np.ndarray, t: pa.DataType, shape=shape) -> pa.Array:
+                    return pa.array(np.broadcast_to(x, shape).reshape(-1).astype(np.uint64).view(np.int64), pa.int64()).cast(t)
+
+                columns = [(table[None], pa.int32()), (half[:, :, None] & masks, pa.int64()), (0, pa.int64()), (np.asarray(batch.column(0))[:, None, None], pa.int64()), (half[:, :, None], pa.int64()), (fps[:, word, None], pa.int64()), (fps[:, (word + 1) % words, None], pa.int64())]
+                yield pa.RecordBatch.from_arrays([of(*x) for x in columns], names=["table", "key", "sub", "node", "fp", "x", "y"])
+
+    return run
+
+
 def _candidates(radius: int, most: int):
     """Over rows sorted by (table, key, sub): edges of each bucket, which may span batches."""
 
@@ -372,12 +395,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 81
 
 def candidates(nodes: DataFrame, scratch: Scratch, words: int, radius: int, similarity: float, bucket: int) -> DataFrame:
     """Edges ``(a, b)`` that connect nodes ``(node, fps)`` as all pairs do that are within the radius in one half of a word, and near in that word and the next."""
-    tables = []
-    for family in range(2 * words):
-        fp, check = F.col("fps")[family // 2], F.col("fps")[(family // 2 + 1) % words]
-        half = F.shiftrightunsigned(fp, 32 * (family % 2)).bitwiseAND(F.lit((1 << 32) - 1))
-        tables += [F.struct(F.lit(family << (radius + 1) | k).alias("table"), half.bitwiseAND(F.lit(m)).alias("key"), half.alias("fp"), fp.alias("x"), check.alias("y")) for k, m in enumerate(covering_masks(radius, bits=32))]
-    rows = nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", F.lit(0).cast("bigint").alias("sub"), "node", "t.fp", "t.x", "t.y")
+    rows = nodes.select("node", "fps").mapInArrow(_tables(words, radius), "table int, key bigint, sub bigint, node bigint, fp bigint, x bigint, y bigint")
     dealt = _buckets(rows, scratch, nodes.count(), radius, bucket, 32)
     return dealt.select("table", "key", "sub", "node", "x", "y").mapInArrow(_candidates(radius, differing_bits(similarity, 128)), "a bigint, b bigint").distinct()
 

@@ -12,13 +12,13 @@ Extension.  Documents meet on anchors; anchors that occur once are dropped.  The
 others are extended both ways as far as the run goes, and the run's whole word
 span is hashed: runs with equal spans repeat each other altogether (classes).  A
 run whose span occurs once may still repeat in part.  For anchors with such runs,
-one run of each class sends the hashes of its windows, and equal ones are found
-within an anchor.  Adjacent repeats are merged to maximal ones.
+one run of each class gives its windows, which are counted by anchor and hash, and
+those that occur again are joined back.  Adjacent repeats are merged to maximal ones.
 
-Nothing is a pair: a passage in a third of all documents is one class, combined
-before the shuffle, and an anchor with over ``split`` classes is dealt out by its
-windows' hashes.  Windows are compared by an anchor's and a window's 64-bit hashes,
-128 bits together.
+Nothing is a pair, and nothing is held together: a passage in a third of all
+documents is a class or a few counted windows, combined before the shuffle, and
+what is joined back has a key once, so adaptive execution can split the other side.
+Windows are compared by an anchor's and a window's 64-bit hashes, 128 bits together.
 
 A null or empty text has no words.  Repeated rows repeat each other.  Ids may be
 null or repeated (see ``unique_keyed``).
@@ -107,60 +107,23 @@ def _runs(window: int, seed: int):
 
 
 def _windows(window: int):
-    """Of the runs listed beside each text: the hashes of their windows, dealt over the anchor's parts."""
+    """Of the runs listed beside each text: a row for each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1, _PIECE):
-            out: list[tuple] = []
+            out: list[tuple[np.ndarray, ...]] = []
             for key, text, runs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 hashes, _ = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                 rolling = Rolling(hashes, 2)
-                for r in runs:
-                    starts = np.arange(r["first"], r["last"] + 1)
-                    found = rolling.of(starts, starts + window)
-                    part = (found % np.uint64(r["parts"])).astype(np.int64)
-                    for p in np.unique(part):
-                        own = part == p
-                        out.append((r["anchor"], int(p), key, r["alone"], found[own].tobytes(), starts[own].astype(np.int32).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["anchor", "part", "row_key", "alone", "hashes", "starts"])
+                starts = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs])
+                sizes = [r["last"] + 1 - r["first"] for r in runs]
+                anchor, alone = (np.repeat(np.array([r[k] for r in runs], t), sizes) for k, t in (("anchor", np.int64), ("alone", bool)))
+                out.append((anchor, rolling.of(starts, starts + window).view(np.int64), np.full(len(starts), key, np.int64), starts.astype(np.int32), alone))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["anchor", "win", "row_key", "start", "alone"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (anchor, part): spans of windows whose hash occurs again within their anchor and part."""
-    kept: pa.Table | None = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-        anchor, part = rows["anchor"].to_numpy(), rows["part"].to_numpy()
-        open_from = int(np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))[-1]) + 1 if (anchor[0], part[0]) != (anchor[-1], part[-1]) else 0
-        if open_from:
-            yield from _equal(rows.slice(0, open_from))
-        kept = rows.slice(open_from)
-    if kept is not None:
-        yield from _equal(kept)
-
-
-def _equal(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
-    row = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-    found = np.concatenate(hashes)
-    anchor, starts = rows["anchor"].to_numpy()[row], np.concatenate([np.frombuffer(x, np.int32) for x in rows["starts"].to_pylist()])
-    order = np.lexsort((found, anchor))
-    equal = (np.diff(found[order]) == 0) & (np.diff(anchor[order]) == 0)
-    again = np.zeros(len(found), bool)
-    again[order[1:][equal]] = again[order[:-1][equal]] = True
-    again &= rows["alone"].to_numpy()[row]
-    if again.any():
-        key, at = rows["row_key"].to_numpy()[row[again]], starts[again]
-        cut = np.flatnonzero((np.diff(row[again]) != 0) | (np.diff(at) != 1)) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(key[np.r_[0, cut]]), pa.array(at[np.r_[0, cut]]), pa.array(at[np.r_[cut - 1, len(at) - 1]])], names=["row_key", "first", "last"])
-
-
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -191,7 +154,7 @@ def _merged(spans: DataFrame, window: int) -> DataFrame:
     return begun.groupBy("row_key", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, seed: int = 8, split: int = 4096) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, seed: int = 8) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``: the words that no repeat covers, joined by spaces."""
     scratch = Scratch(docs.sparkSession)
     rows = unique_keyed(docs, scratch, id_col, text_col)
@@ -204,15 +167,16 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spans = scratch.write(lookup(seeds, whole, ["anchor", "span"], most=_ANCHORS).filter("whole").select("row_key", "first", "last"), "whole_spans")
     scratch.drop("seeds")
 
-    partly = scratch.write(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("alone")).filter("k > 1 and alone > 0").select("anchor", F.ceil(F.col("k") / split).cast("bigint").alias("parts")), "partly")
-    chosen = lookup(classes, partly, ["anchor"], most=_ANCHORS).filter("parts is not null").select("one.*", "anchor", "parts", (F.col("n") == 1).alias("alone"))
-    lists = scratch.write(_listed(chosen, ["first", "last", "anchor", "parts", "alone"], "runs"), "lists")
+    partly = scratch.write(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("alone")).filter("k > 1 and alone > 0").select("anchor", F.lit(True).alias("partly")), "partly")
+    chosen = lookup(classes, partly, ["anchor"], most=_ANCHORS).filter("partly").select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
+    lists = scratch.write(_listed(chosen, ["first", "last", "anchor", "alone"], "runs"), "lists")
     n = lists.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     some = lookup(rows.select("row_key", "text"), lists, ["row_key"], size=n, most=_LISTED).filter("runs is not null")
-    hashed = some.mapInArrow(_windows(window), "anchor bigint, part bigint, row_key bigint, alone boolean, hashes binary, starts binary")
-    partly_spans = hashed.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_repeated, "row_key bigint, first int, last int")
+    windows = scratch.write(some.mapInArrow(_windows(window), "anchor bigint, win bigint, row_key bigint, start int, alone boolean"), "windows")
+    again = scratch.write(windows.groupBy("anchor", "win").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "win", F.lit(True).alias("again")), "again")
+    partly_spans = lookup(windows.filter("alone"), again, ["anchor", "win"], most=_ANCHORS).filter("again").select("row_key", F.col("start").alias("first"), F.col("start").alias("last"))
 
     spans = scratch.write(_listed(_merged(spans.unionByName(partly_spans), window), ["first", "last"], "spans"), "spans")
     n = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    scratch.drop("shared", "classes", "whole", "whole_spans", "partly", "lists")
+    scratch.drop("shared", "classes", "whole", "whole_spans", "partly", "lists", "windows", "again")
     return lookup(rows, spans, ["row_key"], size=n, most=_LISTED).select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -195,8 +195,11 @@ def removed(texts, window=35):
     return out
 
 
-@pytest.mark.parametrize("split", [4096, 1])
-def test_repeats_match_all_windows(spark, split):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_repeats_match_all_windows(spark, shuffled, monkeypatch):
+    if shuffled:  # what tables join by where they are too large to broadcast
+        monkeypatch.setattr(substring, "_LISTED", -1)
+        monkeypatch.setattr(substring, "_ANCHORS", -1)
     r = random.Random(11)
     base = random_texts(7, 12, 5000, 300)
     texts = [*base, None, "", "a " * 100, "a b " * 60, base[0], base[0]]
@@ -204,7 +207,7 @@ def test_repeats_match_all_windows(spark, split):
         words, into = r.choice(base).split(), r.choice(base).split()
         at, n = r.randrange(len(words) or 1), r.randrange(20, 60)
         texts.append(" ".join(into[:5] + words[at : at + n] + into[5:90]))
-    found = substring.without_repeats(docs(spark, texts), split=split)
+    found = substring.without_repeats(docs(spark, texts))
     assert rows(found) == sorted(removed(texts), key=repr)
 
 
@@ -215,6 +218,21 @@ def test_repeats_of_repeated_and_null_ids(spark):
     assert found == [(1, 50, 50), (1, 50, 50), (2, 3, 0), (None, 1, 0), (None, 51, 50)]
 
 
+def test_long_words_that_sums_take_for_one_another(spark):
+    signs = ["ab"[k.bit_count() % 2] for k in range(2048)]
+    one, other = "".join(signs), "".join("ba"[x == "b"] for x in signs)
+    words = [f"w{k}" for k in range(41)]
+    texts = [" ".join([*words[:20], x, *words[21:]]) for x in (one, other)]
+    assert [r["n_removed"] for r in substring.without_repeats(docs(spark, texts)).collect()] == [0, 0]
+    assert [r["n_removed"] for r in substring.without_repeats(docs(spark, [texts[0], texts[0]])).collect()] == [41, 41]
+
+
+def test_a_passage_in_many_contexts(spark):
+    passage = " ".join(f"p{k}" for k in range(36))
+    texts = [" ".join([*(f"a{k}_{j}" for j in range(30)), passage, *(f"b{k}_{j}" for j in range(30))]) for k in range(3000)]
+    assert {r["n_removed"] for r in substring.without_repeats(docs(spark, texts)).collect()} == {36}
+
+
 def test_kept_digest_of_words_in_utf8(spark):
     found = substring.without_repeats(docs(spark, ["é\x0bü a"])).first()["kept"]
     assert hashlib.sha256(found.encode()).hexdigest() == hashlib.sha256("é ü a".encode()).hexdigest()
