@@ -34,7 +34,7 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN found ON found.doc_id =
 
 def _matches(rank: int, rule) -> str:
     pattern = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {rank} AS r, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM d WHERE regexp_matches(t, '{pattern}')"""
+    return f"""SELECT doc_id, {rank} AS r, '{rule.kind}' AS kind, {rule.least} AS least, {rule.tail} AS tail, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM d WHERE regexp_matches(t, '{pattern}')"""
 
 
 _BEFORE = "list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0)"
@@ -43,7 +43,7 @@ OP6 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({' UNION ALL '.join(_matches(k, r) for k, r in enumerate(BASE + EXTRA))}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
-placed AS (SELECT doc_id, r, kind, ({_BEFORE})::BIGINT AS s, length(m[i]) AS n FROM each WHERE length(v[i]) >= least),
+placed AS (SELECT doc_id, r, kind, ({_BEFORE})::BIGINT + CASE WHEN tail THEN length(m[i]) - length(v[i]) ELSE 0 END AS s, CASE WHEN tail THEN length(v[i]) ELSE length(m[i]) END AS n FROM each WHERE length(v[i]) >= least),
 spans AS (SELECT doc_id, r, s, kind || ':' || s || ':' || (s + n) AS x FROM placed),
 sums AS (SELECT doc_id, {', '.join(f"count(CASE WHEN r = {k} THEN 1 END) AS n_{r.kind}" for k, r in enumerate(BASE))}, string_agg(x, ',' ORDER BY s, r) FILTER (r < {len(BASE)}) AS base, string_agg(x, ',' ORDER BY s, r) AS all_ FROM spans GROUP BY 1)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(all_, '') AS spans

@@ -15,6 +15,7 @@ small number of trigrams; a document has each at most once, and they are counted
 per document with a partial aggregate, so no trigram and no document makes a hot
 key.  Candidates are joined by ``lookup``.
 
+No rule repeats a group, so an expression needs no recursion on long texts.
 Matches are leftmost and do not overlap within a rule; positions are code points,
 the end exclusive.  A null or empty text has no spans.  Documents are told apart
 by id and text hash, so repeated ids and null ids are each scanned for themselves.
@@ -35,12 +36,16 @@ from blockprism.llm.common import Scratch, lookup, with_kept
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` is the number of characters that group ``group`` of a match must have."""
+    """``least`` is the number of characters that group ``group`` of a match must have.
+
+    With ``tail`` the span is that group alone, which has to end the match.
+    """
 
     kind: str
     pattern: str
     group: int
     least: int
+    tail: bool = False
 
 
 BASE = (
@@ -49,9 +54,9 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of [0-9a-f]+ that are long enough, begun where they begin
 )
 EXTRA = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("forge_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]+", 0, 40),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("web_token", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 1, 30, tail=True),  # begun at no other place, a run is read once
 )
 #: A string set of more members than this is not followed further.
 _MOST = 64
@@ -112,7 +117,8 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("rank"), end.alias("end")))
+        first = end - F.coalesce(x["own"], F.lit(0)) if rule.tail else begin
+        one = F.array(F.struct(first.alias("start"), F.lit(order).alias("rank"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")

@@ -86,6 +86,17 @@ def test_secret_spans_match_plain_scan(spark):
     assert got == {k: plain_spans(t or "") for k, t in enumerate(SECRETS)}
 
 
+def test_secrets_in_long_texts(spark):
+    """A megabyte of what each rule begins with."""
+    n = 1 << 20
+    texts = ["-----BEGIN " + "A " * (n // 2) + x for x in ("PRIVATE KEY-----", "")] + [x * (n // len(x)) for x in ("eyJ", "-eyJ", "eyJa.", "AKIA", "token ", "token= ", "0123456789abcdef", "ghp_", "-----BEGIN ")]
+    texts.append("x eyJabcdefghijk.eyJabcdefghijklmno.abc-eyJ y")
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs(spark, texts)).collect()}
+    assert found[0] == [(0, 3, len(texts[0]))] and found[1] == []
+    assert found[len(texts) - 1] == [(2, 5, len(texts[-1]) - 2)]
+    assert [len(found[k]) for k in (2, 3, 5, 6, 7, 8, 9, 10)] == [0, 0, 1, 0, 0, 1, 0, 0]
+
+
 def test_trigram_queries_hold_for_every_match():
     for rule, text in ((secrets.BASE[0], "PassWord=x"), (secrets.BASE[0], "ApI_kEy:1"), (secrets.BASE[1], "AKIAZ"), (secrets.EXTRA[0], "-----BEGIN RSA PRIVATE KEY-----"), (secrets.EXTRA[1], "ghp_abc")):
         assert re.search(rule.pattern, text)
