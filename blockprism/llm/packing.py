@@ -7,8 +7,8 @@ have which length is a table of bounded size, and all planning works on it:
 
 1. Linear grouping.  Lengths above a threshold are put, longest first, into
    ``groups`` groups of about equal cardinality and rounded up to their group's
-   longest (where a length has a group of its own, nothing is lost).  Of the
-   thresholds in ``small`` the one whose plan needs the fewest sequences is taken.
+   longest.  Of the thresholds in ``small`` the one whose plan needs the fewest
+   sequences is taken; the small pieces fill what rounding leaves.
 2. Configurations.  For the longest rounded size left, a subset-sum table over
    the sizes finds the fullest sequence, longer sizes first; it is used as often
    as its sizes last.
@@ -64,10 +64,15 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[int]]:
-    """Lengths, longest first, in groups of about equally many pieces."""
-    share, out, held = sum(counts.values()) / groups, [], 0.0
+    """Lengths, longest first, in at most ``groups`` groups of about equally many pieces each.
+
+    A length of more pieces than a share is a group of its own; the others share the rest.
+    """
+    left, out, held = sum(counts.values()), [[]], 0
     for length in sorted(counts, reverse=True):
-        if not out or held + counts[length] / 2 > share * len(out):  # more of it lies beyond the group's share
+        share = left / (groups - len(out) + 1)
+        if held and held + counts[length] / 2 > share and len(out) < groups:
+            left, held = left - held, 0
             out.append([])
         out[-1].append(length)
         held += counts[length]
@@ -112,24 +117,6 @@ def _fullest(sizes: list[int], left: list[int], first: int, room: int) -> list[t
     return use
 
 
-def threshold(counts: dict[int, int], capacity: int, groups: int, choices: tuple[int, ...]) -> int:
-    """The choice whose plan has the fewest sequences, rounded lengths taken for the actual ones."""
-
-    def sequences(small: int) -> int:
-        large = {x: n for x, n in counts.items() if x > small}
-        members = grouped(large, groups) if large else []
-        sizes = [own[0] for own in members]
-        base, rooms = 0, defaultdict(int)
-        for times, use in configurations(sizes, [sum(counts[x] for x in own) for own in members], capacity):
-            base += times
-            rooms[capacity - sum(sizes[k] * n for k, n in use)] += times
-        rooms.pop(0, None)
-        rest = plan_small({x: n for x, n in counts.items() if x <= small}, rooms, capacity, base)
-        return base + sum(n for _, n in rest.opened)
-
-    return min(choices, key=lambda small: (sequences(small), small))
-
-
 class Slots:
     """Where the ranks of each length go: sorted intervals ``(from rank, kind, first)``; rank r goes to first + r - from."""
 
@@ -203,6 +190,34 @@ def plan_small(counts: dict[int, int], rooms: dict[int, int], capacity: int, bas
     return slots
 
 
+def rooms_of(slots: Slots, counts: dict[int, int], base: int, capacity: int) -> dict[int, int]:
+    """How many of the ``base`` sequences have so much room left, from the intervals of ranks that went to them."""
+    steps: dict[int, int] = defaultdict(int)  # what the room changes by from a sequence on
+    for length, rows in slots.rows.items():
+        rows = sorted(rows)
+        for (rank, _, first), to in zip(rows, [*(r[0] for r in rows[1:]), counts[length]], strict=True):
+            steps[first] -= length
+            steps[first + to - rank] += length
+    rooms, room, ends = defaultdict(int), capacity, sorted({*steps, 0, base})
+    for at, to in zip(ends, ends[1:], strict=False):
+        room += steps[at]
+        rooms[room] += to - at
+    rooms.pop(0, None)
+    return rooms
+
+
+def threshold(counts: dict[int, int], capacity: int, groups: int, choices: tuple[int, ...]) -> int:
+    """The choice whose plan has the fewest sequences."""
+
+    def sequences(small: int) -> int:
+        large = {x: n for x, n in counts.items() if x > small}
+        slots, base = plan_large(large, capacity, groups)
+        rest = plan_small({x: n for x, n in counts.items() if x <= small}, rooms_of(slots, large, base, capacity), capacity, base)
+        return base + sum(n for _, n in rest.opened)
+
+    return min(choices, key=lambda small: (sequences(small), small))
+
+
 def _assign(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = plan.value
@@ -236,7 +251,7 @@ def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
     return {r[key]: r["n"] for r in rows.groupBy(key).agg(F.count("*").alias("n")).collect()}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 1024, small: tuple[int, ...] = (64, 128, 256, 512)) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, groups: int = 48, small: tuple[int, ...] = (64, 128, 192, 256, 384, 512)) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for each piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
