@@ -34,7 +34,7 @@ never a component's id unless the component has no other.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,7 @@ def differing_bits(similarity: float, bits: int) -> int:
 
 
 def matched(half: np.ndarray, check: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between places of a bucket: all pairs that match where these are few, or else a forest of them.
+    """Edges between places of a bucket: all pairs that match where these are fewer than places, or else a forest of them.
 
     ``half`` has the covered fingerprints, ``check`` a row of longer ones each.
     """
@@ -148,7 +148,7 @@ def matched(half: np.ndarray, check: np.ndarray, radius: int, most: int) -> tupl
         good = np.bitwise_count(check[x] ^ check[y]).sum(axis=1) <= most
         firsts.append(x[good])
         seconds.append(y[good])
-        if sum(map(len, firsts)) > 4 * n:
+        if sum(map(len, firsts)) >= n:
             return _forest(half, check, radius, most)
     return np.concatenate(firsts), np.concatenate(seconds)
 
@@ -215,10 +215,10 @@ def _candidates(radius: int, most: int):
         check = np.stack(checks, axis=1).view(np.uint64)
         half = (check[:, 0] >> (np.uint64(32) * (table % _TABLES >> radius + 1 & 1).astype(np.uint64))).astype(np.uint32)
         starts, sizes = np.r_[0, changes], np.diff(np.r_[0, changes, len(node)])
-        of = np.repeat(np.where(sizes <= _SMALL, np.arange(len(sizes)), -1), sizes)
+        of = np.repeat(np.where(sizes <= _SMALL, np.arange(len(sizes)), len(sizes)), sizes)  # the last number: a large one
         pairs = []
         for d in range(1, min(_SMALL, len(node))):
-            x = np.flatnonzero((of[d:] == of[:-d]) & (of[d:] >= 0) & (np.bitwise_count(half[d:] ^ half[:-d]) <= radius))
+            x = np.flatnonzero((of[d:] == of[:-d]) & (of[d:] < len(sizes)) & (np.bitwise_count(half[d:] ^ half[:-d]) <= radius))
             x = x[np.bitwise_count(check[x] ^ check[x + d]).sum(axis=1) <= most]
             pairs.append((x, x + d))
         for k in np.flatnonzero(sizes > _SMALL).tolist():
@@ -226,6 +226,12 @@ def _candidates(radius: int, most: int):
             x, y = matched(half[s:e], check[s:e], radius, most)
             pairs.append((x + s, y + s))
         a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in range(2))
+        many = np.flatnonzero((sizes <= _SMALL) & (np.bincount(of[a], minlength=len(sizes) + 1)[: len(sizes)] >= sizes)) if len(a) and len(sizes) else []
+        if len(many):  # a group of copies: its forest is enough
+            trees = [tuple(x + starts[k] for x in _forest(half[starts[k] :][: sizes[k]], check[starts[k] :][: sizes[k]], radius, most)) for k in many]
+            others = ~np.isin(of[a], many)
+            a, b = (np.concatenate([x[others], *(t[j] for t in trees)]) for j, x in enumerate((a, b)))
+        a, b = np.unique(np.stack([a, b], axis=1), axis=0).T if len(a) else (a, b)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return run
@@ -374,7 +380,7 @@ def _large_buckets(rows: DataFrame, scratch: Scratch, n: int, bucket: int) -> Da
     return None if large.isEmpty() else large
 
 
-def _buckets(rows: DataFrame, scratch: Scratch, n: int, radius: int, bucket: int, bits: int) -> DataFrame:
+def _buckets(rows: DataFrame, scratch: Scratch, n: int, radius: int, bucket: int, bits: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(table, key, sub, fp, ...)`` together by bucket; those of large buckets are dealt again by a second covering family."""
     large = _large_buckets(rows, scratch, n, bucket)
     if large is not None:
@@ -383,7 +389,7 @@ def _buckets(rows: DataFrame, scratch: Scratch, n: int, radius: int, bucket: int
         others = [c for c in rows.columns if c not in ("table", "key", "sub", "large")]
         again = rows.filter("large").select("table", "key", *others, F.posexplode(second).alias("k", "sub")).select((F.col("table") + _TABLES * (F.col("k") + 1)).alias("table"), "key", "sub", *others)
         rows = rows.filter("large is null").drop("large").unionByName(again)
-    return rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub")
+    return rows.repartition("table", "key", "sub").sortWithinPartitions("table", "key", "sub", *by)
 
 
 def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 8192) -> DataFrame:
@@ -396,7 +402,7 @@ def links(prints: DataFrame, scratch: Scratch, radius: int = 3, bucket: int = 81
 def candidates(nodes: DataFrame, scratch: Scratch, words: int, radius: int, similarity: float, bucket: int) -> DataFrame:
     """Edges ``(a, b)`` that connect nodes ``(node, fps)`` as all pairs do that are within the radius in one half of a word, and near in that word and the next."""
     rows = nodes.select("node", "fps").mapInArrow(_tables(words, radius), "table int, key bigint, sub bigint, node bigint, fp bigint, x bigint, y bigint")
-    dealt = _buckets(rows, scratch, nodes.count(), radius, bucket, 32)
+    dealt = _buckets(rows, scratch, nodes.count(), radius, bucket, 32, ["node"])  # the least node is its bucket's hub, so tables agree on edges
     return dealt.select("table", "key", "sub", "node", "x", "y").mapInArrow(_candidates(radius, differing_bits(similarity, 128)), "a bigint, b bigint").distinct()
 
 
