@@ -1,24 +1,28 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models, of the target corpus and of the background corpus, share
-one smoothing, so the difference of their losses on a token tells how much rather
+one vocabulary, so the difference of their losses on a token tells how much rather
 the target would have written it.  A document's score is the mean difference over
-its tokens, the end of text included: low is like the target.
+its tokens, the end of text included: low is like the target.  With c the counts of
+a model and V the number of distinct words of both corpora:
 
-Counts are of words and of pairs (history, word), each by its own 64-bit hash, in
-tables that grow with the corpora.  Tasks add what they can before the shuffle.
-Each distinct pair gets its loss under both models once, and documents' distinct
-pairs are joined with these losses by a shuffle.  With c the counts of a model, N
-its tokens, V ``vocabulary`` or the number of distinct words, whichever is more:
+    p(w | h) = (c(h, w) + ``prior`` / V) / (c(h) + ``prior``)
 
-    p(w)     = (c(w) + 1) / (N + V)
-    p(w | h) = (c(h, w) + ``prior`` * p(w)) / (c(h) + ``prior``)
+Counts are of all words and of all pairs (history, word), each told apart by a hash
+of 63 bits; they grow with the corpora and no task ever holds all of them.  Texts
+are dealt into chunks of some MB.  A chunk gives the distinct keys of its texts,
+sorted, with their counts, cut into buckets of hashes; a bucket adds the counts of
+all chunks and answers each chunk in the order of its keys; and a chunk's texts,
+hashed again, meet the answers.  Keys and counts travel as planes of bytes of their
+differences, which the shuffle compresses, so a key costs a few bytes.  A word or a
+pair is in a chunk once at most, so none is a hot key.
+
+V is read from the 4096 least hashes of words: exact up to so many words, within a
+few percent beyond.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and begin-of-text is a history
-like any word.  A null or empty text has one token, the end.  A word is a history
-as often as it occurs, and a begin as often as an end, so one count serves both.
-Ids may be null or repeated; each row is scored for itself.  With an empty target
-the target model is uniform.
+like any word.  A null or empty text has one token, the end.  Ids may be null or
+repeated; each row is scored for itself.  With an empty corpus its model is uniform.
 """
 
 from __future__ import annotations
@@ -27,15 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import Scratch, flat, lookup, pieces, unique_keyed
+from blockprism.llm.common import Scratch, flat, pieces
 from blockprism.llm.substring import word_hashes
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_EDGE = 0x5DEECE66D  # the hash that stands for a text's beginning and end
+_EDGE = np.uint64(0x5DEECE66D0B4A1C2)  # the hash that stands for a text's beginning and end
+#: Bytes of text in a chunk, about.
+_CHUNK = 8 << 20
+#: Hashes from which the size of the vocabulary is read.
+_LEAST = 4096
 _PIECE = 1 << 20
+_TARGET, _BACKGROUND, _WANTED = 1, 2, 4  # flags of a text
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,88 +60,171 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def predicted(found: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token that is predicted (all but begins): its hash, its history's, its pair's."""
+def keys(found: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token that is predicted (all but begins): the key of its pair, which is even, and of its history, which is odd."""
     wanted = np.ones(len(found), bool)
     wanted[begins[:-1]] = False
     now = np.flatnonzero(wanted)
     word, history = found[now], found[now - 1]
     pair = (history * np.uint64(0x9E3779B97F4A7C15)) ^ (word >> np.uint64(32)) ^ (word << np.uint64(32))
     pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return word, history, pair ^ (pair >> np.uint64(32))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(pair, history, word, n)``, one row per pair and flush."""
-    held: list[tuple] = []
-    size = 0
-    for batch in pieces(batches, 0, _PIECE):
-        word, history, pair = predicted(*tokens(batch.column(0)))
-        held.append((pair, history, word))
-        size += len(word)
-        if size > 2_000_000:
-            yield _flush(held)
-            held, size = [], 0
+    pair ^= pair >> np.uint64(32)
+    return pair & ~np.uint64(1), history | np.uint64(1)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones first, and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _all_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """As ``tokens``, of a chunk, a piece at a time."""
+    found, begins = [], [np.zeros(1, np.int64)]
+    for piece in pieces(iter(table.to_batches()), table.schema.get_field_index("text"), _PIECE):
+        hashes, starts = tokens(piece.column("text"))
+        found.append(hashes)
+        begins.append(starts[1:] + begins[-1][-1])
+    return np.concatenate(found), np.concatenate(begins)
+
+
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk's texts, ascending, and how often each is in the target and in the background."""
+    found, begins = _all_tokens(table)
+    pair, history = keys(found, begins)
+    flags = np.repeat(np.asarray(table.column("flags")), np.diff(begins) - 1)
+    every = np.concatenate([pair, history])
+    order = np.argsort(every)
+    every = every[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    order %= len(pair)
+    return every[starts], *(np.add.reduceat(((flags & c) > 0).astype(np.uint32)[order], starts, dtype=np.uint32) for c in (_TARGET, _BACKGROUND))
+
+
+def _ask(buckets: int):
+    """Over rows sorted by chunk: for each chunk and bucket, the keys and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, table in _chunks(batches):
+            key, t, b = _counted(table)
+            bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(key)]
+            rows = [(int(bucket[s]), chunk, planes(np.diff(key[s:e], prepend=np.uint64(0))), planes(t[s:e]), planes(b[s:e])) for s, e in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "t", "b"])
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each chunk, which come one behind another."""
+    open_chunk, held = None, []
+    for batch in batches:
+        chunk = np.asarray(batch.column("chunk"))
+        cuts = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                if held and chunk[s] != open_chunk:
+                    yield open_chunk, pa.Table.from_batches(held)
+                    held = []
+                open_chunk = int(chunk[s])
+                held.append(batch.slice(s, e - s))
+    if held:
+        yield open_chunk, pa.Table.from_batches(held)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by bucket: to each chunk the counts of its keys over all chunks, in their order."""
+    open_bucket, held = None, []
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        parts = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for _, x, _, _ in held]
+        every, place = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([unplaned(x[k], np.uint32) for x in held]), len(every)).astype(np.uint64) for k in (2, 3)]
+        ends = np.cumsum([len(x) for x in parts])
+        for (chunk, *_), part, end in zip(held, parts, ends.tolist(), strict=True):
+            own = place[end - len(part) : end]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([open_bucket]), *(pa.array([planes(x[own])], pa.binary()) for x in sums)], names=["chunk", "bucket", "t", "b"])
+
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if bucket != open_bucket:
+                if held:
+                    yield from closed()
+                open_bucket, held = bucket, []
+            held.append(row)
     if held:
-        yield _flush(held)
-
-
-def _flush(held: list[tuple]) -> pa.RecordBatch:
-    pair, history, word = (np.concatenate(x) for x in zip(*held, strict=True))
-    pair, first, n = np.unique(pair, return_index=True, return_counts=True)
-    columns = [x.view(np.int64) for x in (pair, history[first], word[first])]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], names=["pair", "history", "word", "n"])
-
-
-def _document_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(row_key, pair, n)``, one row per document and distinct pair."""
-    for batch in pieces(batches, 1, _PIECE):
-        found, begins = tokens(batch.column(1))
-        pair = predicted(found, begins)[2]
-        of = np.repeat(np.arange(batch.num_rows), np.diff(begins) - 1)
-        order = np.lexsort((pair, of))
-        pair, of = pair[order], of[order]
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (pair[1:] != pair[:-1])]))
-        n = np.diff(np.append(starts, len(pair)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[starts])), pa.array(pair[starts].view(np.int64)), pa.array(n)], names=["row_key", "pair", "n"])
-
-
-def counts(target: DataFrame, background: DataFrame, others: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """``(pair, history, word, t, b)``: how often each pair of any table occurs in the first and in the second."""
-
-    def one(texts: DataFrame, t: int, b: int) -> DataFrame:
-        rows = texts.mapInArrow(_count, "pair bigint, history bigint, word bigint, n bigint")
-        return rows.select("pair", "history", "word", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
-
-    rows = one(target, 1, 0).unionByName(one(background, 0, 1))
-    for other in others:
-        rows = rows.unionByName(one(other, 0, 0))
-    return scratch.write(rows.groupBy("pair", "history", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pairs")
-
-
-def losses(pairs: DataFrame, scratch: Scratch, vocabulary: int, prior: float) -> DataFrame:
-    """``(pair, target_bits, background_bits)`` for each distinct pair."""
-    words = scratch.write(pairs.groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
-    distinct, *totals = words.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    found = lookup(pairs, words.select("word", F.col("t").alias("wt"), F.col("b").alias("wb")), ["word"])
-    found = lookup(found, words.select(F.col("word").alias("history"), F.col("t").alias("ht"), F.col("b").alias("hb")), ["history"])
-
-    def bits(c: str, total: int):
-        alone = (F.col(f"w{c}") + 1.0) / float(total + max(vocabulary, distinct))
-        return -F.log2((F.col(c) + prior * alone) / (F.col(f"h{c}") + prior))
-
-    return scratch.write(found.select("pair", bits("t", totals[0]).alias("target_bits"), bits("b", totals[1]).alias("background_bits")), "losses")
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 18, prior: float = 8.0) -> DataFrame:
-    """``(doc_id, n_tokens, target_bits, background_bits, difference)`` for each document."""
-    scratch = Scratch(docs.sparkSession)
-    rows = unique_keyed(docs, scratch, id_col, text_col)
-    own = rows.select("row_key", "text").mapInArrow(_document_pairs, "row_key bigint, pair bigint, n bigint")
-    corpora = [c.select(F.col(text_col).alias("text")) for c in (target, background)]
-    seen = any(docs.sameSemantics(c) for c in (target, background))  # else documents may have pairs that no corpus has
-    of = losses(counts(*corpora, [] if seen else [rows.select("text")], scratch), scratch, vocabulary, prior)
-    each = lookup(own, of, ["pair"]).groupBy("row_key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target_bits")).alias("a"), F.sum(F.col("n") * F.col("background_bits")).alias("b"))
-    sums = scratch.write(each, "sums")
-    a, b = F.col("a") / F.col("n_tokens"), F.col("b") / F.col("n_tokens")
-    return lookup(rows.select("row_key", "doc_id"), sums, ["row_key"]).select("doc_id", "n_tokens", a.alias("target_bits"), b.alias("background_bits"), (a - b).alias("difference"))
+        yield from closed()
+
+
+def _score(vocabulary: int, prior: float):
+    """Of a chunk: each text's tokens and bits, from the chunk's answers."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "target_bits": pa.array([], pa.float64()), "background_bits": pa.array([], pa.float64())})
+        found, begins = _all_tokens(texts)
+        pair, history = keys(found, begins)
+        every, place = np.unique(np.concatenate([pair, history]), return_inverse=True)
+        order = np.argsort(np.asarray(answers.column("bucket")))
+        out, size = [], np.diff(begins) - 1
+        for c in ("t", "b"):
+            blobs = answers.column(c).to_pylist()
+            count = np.concatenate([unplaned(blobs[k], np.uint64) for k in order]).astype(np.float64)
+            is_word = (every & np.uint64(1)).astype(bool)
+            bits = np.where(is_word, np.log2(count + prior), -np.log2(count + prior / vocabulary))
+            each = bits[place[: len(pair)]] + bits[place[len(pair) :]]
+            out.append(np.add.reduceat(each, begins[:-1] - np.arange(len(size))) / size)
+        keep = (np.asarray(texts.column("flags")) & _WANTED) > 0
+        return pa.table({"doc_id": texts.column("doc_id").filter(pa.array(keep)), "n_tokens": size[keep], "target_bits": out[0][keep], "background_bits": out[1][keep]})
+
+    return run
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hashes of words."""
+    least = np.empty(0, np.uint64)
+    for batch in pieces(batches, 0, _PIECE):
+        found, _ = tokens(batch.column(0))
+        least = np.unique(np.concatenate([least, found]))[:_LEAST]
+    yield pa.RecordBatch.from_arrays([pa.array((least ^ np.uint64(1 << 63)).view(np.int64))], names=["least"])
+
+
+def vocabulary_size(texts: DataFrame) -> int:
+    """About how many distinct words the texts have, an end of text included."""
+    found = texts.mapInArrow(_least, "least bigint").distinct().orderBy("least").limit(_LEAST).collect()
+    if len(found) < _LEAST:
+        return max(1, len(found))
+    return round((_LEAST - 1) / ((found[-1]["least"] + (1 << 63)) / 2**64))
+
+
+def scored(rows: DataFrame, target: Column, background: Column, wanted: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 500.0, chunk_bytes: int = _CHUNK) -> DataFrame:
+    """``(doc_id, n_tokens, target_bits, background_bits, difference)`` of the wanted rows (all); which rows are in which corpus the columns tell."""
+    wanted = F.lit(True) if wanted is None else wanted
+    flags = sum((F.when(x, c).otherwise(0) for x, c in ((target, _TARGET), (background, _BACKGROUND), (wanted, _WANTED))), F.lit(0))
+    rows = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), flags.alias("flags"))
+    corpus = rows.filter(F.col("flags").bitwiseAND(_TARGET | _BACKGROUND) > 0).select("text")
+    vocabulary = vocabulary_size(corpus)
+    size, odd = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    if odd:  # else all null ids of one text would be dealt to one chunk
+        rows = Scratch(rows.sparkSession).write(rows.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    n = max(1, -(-size // chunk_bytes))
+    spread = F.xxhash64("doc_id", "text", *(["n"] if odd else []))
+    dealt = rows.withColumn("chunk", F.pmod(spread, F.lit(n))).select("chunk", "doc_id", "text", "flags").repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "chunk")  # one shuffle serves both below
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(_ask(n), "bucket bigint, chunk bigint, keys binary, t binary, b binary")
+    answers = asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk bigint, bucket bigint, t binary, b binary")
+    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(vocabulary, prior), "doc_id bigint, n_tokens bigint, target_bits double, background_bits double")
+    return found.withColumn("difference", F.col("target_bits") - F.col("background_bits"))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """As ``scored``, of documents that need not be in either corpus."""
+
+    def part(df: DataFrame, *flags: bool) -> DataFrame:
+        return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *(F.lit(x).alias(c) for x, c in zip(flags, ("target", "background", "wanted"), strict=True)))
+
+    rows = part(docs, False, False, True).unionByName(part(target, True, False, False)).unionByName(part(background, False, True, False))
+    return scored(rows, F.col("target"), F.col("background"), F.col("wanted"), **options)

@@ -9,7 +9,7 @@ from blockprism.llm.common import lookup
 from blockprism.llm.decontaminate import contamination
 from blockprism.llm.id_files import round_trip
 from blockprism.llm.language import held_out, languages
-from blockprism.llm.lm_score import cross_entropy_difference
+from blockprism.llm.lm_score import scored
 from blockprism.llm.packing import pack
 from blockprism.llm.quality import quality
 from blockprism.llm.secrets import BASE, EXTRA, scan, written
@@ -48,7 +48,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target corpus are the documents that are labelled good, the background are all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
-    return cross_entropy_difference(docs, lookup(docs, good, ["doc_id"]).filter("good"), docs)
+    return scored(lookup(docs, good, ["doc_id"]), F.col("good"), F.lit(True))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
