@@ -168,11 +168,14 @@ def overlaid(block, data, at) -> Column:
 
 #: Fixed values.
 COMPRESSIONS = ("none", "lz4", "zstd")
-ERRORS = ("ok", "io", "meta", "config", "not_found", "exists", "invalid", "no_space")
+#: Codes of the C interface by the kind of error; any other kind is internal.
+ERROR_CODES = {"ok": 0, "null": -1, "invalid": -2, "out_of_bounds": -2, "invalid_lba": -2, "io": -3, "meta": -3, "not_found": -4, "deleted": -4, "no_space": -5, "config": -6}
+INTERNAL = -7
 
 
 def compression_name(code) -> Column:
-    return F.element_at(F.array(*map(F.lit, COMPRESSIONS)), F.when(_c(code).between(0, 2), _c(code).cast("int") + 1))
+    at = F.coalesce(_c(code).cast("int"), F.lit(-1))
+    return F.when(at.between(0, 2), F.element_at(F.array(*map(F.lit, COMPRESSIONS)), F.least(F.greatest(at, F.lit(0)), F.lit(2)) + 1))
 
 
 def compression_code(name) -> Column:
@@ -181,9 +184,9 @@ def compression_code(name) -> Column:
 
 
 def error_code(kind) -> Column:
-    """0 for ok, else negative by the list's order; an unknown kind is the last."""
-    at = F.array_position(F.array(*map(F.lit, ERRORS)), _c(kind)).cast("int")
-    return F.when(at > 0, 1 - at).otherwise(-len(ERRORS))
+    """0 for ok, else the negative code of the kind of error."""
+    codes = F.create_map(*(F.lit(x) for pair in ERROR_CODES.items() for x in pair))
+    return F.coalesce(F.try_element_at(codes, _c(kind)), F.lit(INTERNAL))
 
 
 def big_endian(value, width: int = 8) -> Column:
@@ -198,26 +201,36 @@ def from_big_endian(data, at: int, width: int) -> Column:
 
 #: Suffixes and their powers of two, or seconds.
 _UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
-_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "": 1}
+_SHORT_UNITS = {"k": 10, "m": 20, "g": 30, "t": 40}
+_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
-def _scaled(text: Column, scales: dict[str, Column]) -> Column:
+def _scaled(text: Column, scales: dict[str, int], fractions: bool) -> Column:
+    """A whole number and a suffix; with ``fractions`` any number before a suffix, cut to a whole result."""
     text = F.lower(F.trim(text))
-    number, unit = F.regexp_extract(text, r"^(\d+)\s*([a-z]*)$", 1), F.regexp_extract(text, r"^(\d+)\s*([a-z]*)$", 2)
-    out = F.lit(None).cast("bigint")
-    for name, scale in scales.items():
-        out = F.when(unit == name, F.try_multiply(number.try_cast("bigint"), scale)).otherwise(out)
-    return F.when(number != "", out)
-
-
-def parse_size(text) -> Column:
-    """Bytes of ``4k``, ``2 MB``...; null for what is no size or overflows."""
-    return _scaled(_c(text), {u: F.lit(1 << s).cast("bigint") for u, s in _UNITS.items()})
+    whole = r"^(\d+)([a-z]*)$"
+    number, unit = (F.regexp_extract(text, whole, k) for k in (1, 2))
+    scale = F.create_map(*(F.lit(x) for name, n in scales.items() for x in (name, n)))
+    out = F.when(number != "", F.try_multiply(number.try_cast("bigint"), F.try_element_at(scale, unit).cast("bigint")))
+    if not fractions:
+        return out
+    part = r"^([+-]?(?:\d+\.?\d*|\.\d+)) *([a-z])$"
+    scaled = F.regexp_extract(text, part, 1).try_cast("double") * F.try_element_at(scale, F.regexp_extract(text, part, 2))
+    return F.when(number != "", out).otherwise(scaled.try_cast("bigint"))
+
+
+def parse_size(text, fractions: bool = False) -> Column:
+    """Bytes of ``4k``, ``2MB``...; null for what is no size or overflows.
+
+    There are two grammars: whole numbers with or without a ``b`` behind the letter,
+    or ``fractions`` such as ``1.5g`` with one letter.
+    """
+    return _scaled(_c(text), {u: 1 << s for u, s in ({"": 0} | _SHORT_UNITS if fractions else _UNITS).items()}, fractions)
 
 
 def parse_duration(text) -> Column:
-    """Seconds of ``90``, ``15m``, ``2h``, ``1d``; null otherwise."""
-    return _scaled(_c(text), {u: F.lit(s).cast("bigint") for u, s in _SECONDS.items()})
+    """Seconds of ``90``, ``15m``, ``1.5h``, ``1d``; null otherwise."""
+    return _scaled(_c(text), {"": 1} | _SECONDS, True)
 
 
 def human_bytes(n) -> Column:
@@ -229,16 +242,34 @@ def human_bytes(n) -> Column:
 
 
 def human_seconds(s) -> Column:
-    s = _c(s).cast("bigint")
-    return F.format_string("%02d:%02d:%02d", idiv(s, 3600), idiv(s, 60) % 60, s % 60)
+    """Whole seconds as ``1d2h3m4s``, without parts that are zero."""
+    left, parts = _c(s).cast("bigint"), []
+    for name, unit in reversed(_SECONDS.items()):
+        n = idiv(left, unit)
+        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(name))).otherwise(""))
+        left = left % unit
+    return F.when(_c(s).cast("bigint") < 1, "0s").otherwise(F.concat(*parts))
+
+
+def human_nanoseconds(ns) -> Column:
+    """Nanoseconds in the largest unit of which there is one, with three decimals above ``ns``."""
+    ns = _c(ns).cast("bigint")
+    out = F.concat(ns.cast("string"), F.lit("ns"))
+    for name, scale in (("us", 1e3), ("ms", 1e6), ("s", 1e9)):
+        out = F.when(ns >= int(scale), F.concat(F.format_string("%.3f", ns / F.lit(scale)), F.lit(name))).otherwise(out)
+    return out
+
+
+#: What terminal colours, block addresses, hexadecimal and decimal numbers look like.
+COLOUR, ADDRESS, HEXADECIMAL, DECIMAL = "\x1b\\[[0-9;]*[A-Za-z]", r"Pba\(\d+\)", r"\b0x[0-9a-fA-F]+\b", r"\b\d+\b"
 
 
 def plain(message) -> Column:
     """Without terminal colours."""
-    return F.regexp_replace(_c(message), "\x1b\\[[0-9;]*[A-Za-z]", "")
+    return F.regexp_replace(_c(message), COLOUR, "")
 
 
 def normalised(message) -> Column:
     """Addresses, hexadecimal and decimal numbers replaced, in this order."""
-    out = F.regexp_replace(plain(message), r"Pba\(\d+\)", "Pba(#)")
-    return F.regexp_replace(F.regexp_replace(out, r"\b0x[0-9a-fA-F]+\b", "0x#"), r"\b\d+\b", "#")
+    out = F.regexp_replace(plain(message), ADDRESS, "Pba(#)")
+    return F.regexp_replace(F.regexp_replace(out, HEXADECIMAL, "0x#"), DECIMAL, "#")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockprism.functions import scalars as S
+from blockprism.operators import space
 from blockprism.operators.writelog import islands
 from blockprism.schemas import BLOCK
 
@@ -79,8 +80,9 @@ def cleanup(index: DataFrame, reverse: DataFrame, dead: DataFrame) -> tuple[Data
 def cleanup_gate(dead: DataFrame, stored: DataFrame, free: DataFrame) -> DataFrame:
     """Blocks that may be cleaned up: nothing refers to them and they are not free already."""
     live = stored.filter("refcount > 0").select("pba")
-    taken = free.select(F.explode(F.expr("sequence(start_pba, start_pba + block_count - 1)")).alias("pba"))
-    return dead.join(live, "pba", "left_anti").join(taken, "pba", "left_anti")
+    idle = dead.join(live, "pba", "left_anti")
+    single = idle.select(F.col("pba").alias("start_pba"), F.lit(1).cast("bigint").alias("block_count")).distinct()
+    return idle.join(space.overlapping(single, free).select(F.col("start_pba").alias("pba")), "pba", "left_anti")
 
 
 def skipped(blockmap: DataFrame, limit: int) -> DataFrame:

@@ -81,15 +81,15 @@ def log_context(lines: DataFrame, by: list[str], order: str, match, before: int,
 
 
 def issue_histogram(lines: DataFrame, message: str = "msg", top: int | None = None) -> DataFrame:
-    """How often each message occurs once numbers and addresses are replaced; ``top`` is a report's length."""
-    counts = lines.groupBy(S.normalised(message).alias("issue")).agg(F.count("*").alias("n"))
+    """How often each issue's message occurs once numbers and addresses are replaced; ``top`` is a report's length."""
+    counts = lines.filter(is_issue(message=message)).groupBy(S.normalised(message).alias("issue")).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "issue").limit(top) if top else counts
 
 
 def signal_counts(lines: DataFrame, signals: list[str], message: str = "msg") -> DataFrame:
-    """One row: how many lines contain each signal, whatever the case."""
+    """One row: how many issues contain each signal, whatever the case."""
     text = F.lower(message)
-    return lines.agg(*(F.count_if(text.contains(s.lower())).alias(s.lower().replace(" ", "_")) for s in signals))
+    return lines.filter(is_issue(message=message)).agg(*(F.count_if(text.contains(s.lower())).alias(s.lower().replace(" ", "_")) for s in signals))
 
 
 def is_issue(level: str = "level", message: str = "msg"):

@@ -503,12 +503,12 @@ def log_context(d):
     return ops.log_context(ordered, ["conv_id"], "at", F.col("level") == "ERROR", 1, 2).select("conv_id", "turn", "level", "msg", "is_match")
 
 
-@query(r"SELECT regexp_replace(regexp_replace(regexp_replace(msg, 'Pba\(\d+\)', 'Pba(#)', 'g'), '\b0x[0-9a-fA-F]+\b', '0x#', 'g'), '\b\d+\b', '#', 'g') AS issue, count(*) AS n FROM lines GROUP BY 1", "lines")
+@query(r"SELECT regexp_replace(regexp_replace(regexp_replace(msg, 'Pba\(\d+\)', 'Pba(#)', 'g'), '\b0x[0-9a-fA-F]+\b', '0x#', 'g'), '\b\d+\b', '#', 'g') AS issue, count(*) AS n FROM issues GROUP BY 1", "issues")
 def issue_histogram(d):
     return ops.issue_histogram(d.log_lines)
 
 
-@query("SELECT count(CASE WHEN contains(lower(msg), 'user') THEN 1 END) AS \"user\", count(CASE WHEN contains(lower(msg), 'retry 1') THEN 1 END) AS retry_1 FROM lines", "lines")
+@query("SELECT count(CASE WHEN contains(lower(msg), 'user') THEN 1 END) AS \"user\", count(CASE WHEN contains(lower(msg), 'retry 1') THEN 1 END) AS retry_1 FROM issues", "issues")
 def signal_counts(d):
     return ops.signal_counts(d.log_lines, ["User", "retry 1"])
 
@@ -553,9 +553,15 @@ def codec_roundtrip(d):
 # Streams, drained
 
 
+def _own_folder(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="blockprism-stream-")
+
+
 def _drained(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a job has made of rows that arrive as files, when all have been read."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="blockprism-stream-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder(spark)
     at = f"{root}/stream-{uuid.uuid4().hex}"
     rows.repartition(3).write.mode("overwrite").parquet(f"{at}/in")
     stream = jobs.log_stream(spark, f"{at}/in", rows.schema, max_files=1)
@@ -574,3 +580,6 @@ def stream_blockmap(d):
 @query("SELECT DISTINCT hash FROM docb", "docb")
 def stream_dedup(d):
     return _drained(d.spark, d.doc_blocks.select("hash"), jobs.first_copies, "append").select("hash")
+
+
+from blockprism.plans import lookups  # noqa: E402, F401  registers its queries with the above

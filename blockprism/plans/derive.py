@@ -130,7 +130,7 @@ class Derived:
     def log_lines(self) -> DataFrame:
         rows = self.table("conversations").filter("conv_id is not null and turn is not null")
         level = F.when(F.col("turn") % 5 == 0, "WARN").when(F.col("turn") % 7 == 3, "ERROR").otherwise("INFO")
-        text = F.concat(F.lit("Pba("), (F.col("conv_id") % 9).cast("string"), F.lit(") at 0xff"), (F.col("turn") % 3).cast("string"), F.lit(" retry "), (F.col("conv_id") % 4).cast("string"), F.lit(" "), F.coalesce("role", F.lit("")))
+        text = F.concat(F.lit("Pba("), (F.col("conv_id") % 9).cast("string"), F.lit(") at 0xff"), (F.col("turn") % 3).cast("string"), F.lit(" retry "), (F.col("conv_id") % 4).cast("string"), F.lit(" "), F.coalesce("role", F.lit("")), F.when(F.col("conv_id") % 5 == 0, " CRC mismatch").otherwise(""))
         return rows.select("conv_id", "turn", level.alias("level"), text.alias("msg")).distinct()
 
 
@@ -181,7 +181,8 @@ VIEWS = {
     "reqs": "SELECT event_id AS pos, vol_id, event_id * 37 % 1024 AS lba FROM ev WHERE event_type = 'view'",
     "rngs": "SELECT event_id, event_id * 37 % 2000 AS start, user_id % 300 + 1 AS count FROM ev",
     "bytes_": "SELECT event_id, event_id * 997 % 1000000 AS off, user_id * 131 % 20000 AS len FROM ev",
-    "lines": "SELECT DISTINCT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'WARN' WHEN turn % 7 = 3 THEN 'ERROR' ELSE 'INFO' END AS level, 'Pba(' || (conv_id % 9) || ') at 0xff' || (turn % 3) || ' retry ' || (conv_id % 4) || ' ' || coalesce(role, '') AS msg FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL",
+    "lines": "SELECT DISTINCT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'WARN' WHEN turn % 7 = 3 THEN 'ERROR' ELSE 'INFO' END AS level, 'Pba(' || (conv_id % 9) || ') at 0xff' || (turn % 3) || ' retry ' || (conv_id % 4) || ' ' || coalesce(role, '') || CASE WHEN conv_id % 5 = 0 THEN ' CRC mismatch' ELSE '' END AS msg FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL",
+    "issues": "SELECT * FROM lines WHERE level IN ('WARN', 'ERROR') OR regexp_matches(lower(msg), 'panic|error|failed|failure|mismatch|corrupt|crc|overlap|rejected|timeout|drift')",
 }
 
 

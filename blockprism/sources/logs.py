@@ -22,11 +22,18 @@ def soak_events(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(good).select(parsed.alias("e")).select("e.*")
 
 
-def log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``ts, level, target, msg`` of lines that are log lines, without terminal colours; other columns stay."""
+def log_lines(lines: DataFrame, column: str = "value", hints: str | None = None) -> DataFrame:
+    """``ts, level, target, msg`` of lines that are log lines, without terminal colours; other columns stay.
+
+    With ``hints``, an expression in lower case, other lines that hint at an issue
+    are kept whole, of level ``TEXT``.
+    """
     clean = lines.withColumn("_line", S.plain(column))
-    out = clean.filter(F.col("_line").rlike(LINE))
-    return out.select(*(c for c in lines.columns if c != column), *(F.regexp_extract("_line", LINE, k + 1).alias(n) for k, n in enumerate(("ts", "level", "target", "msg"))))
+    is_line = F.col("_line").rlike(LINE)
+    out = clean.filter(is_line | F.lower("_line").rlike(hints) if hints else is_line)
+    whole = {"ts": "", "level": "TEXT", "target": "", "msg": F.col("_line")}
+    parts = (F.when(is_line, F.regexp_extract("_line", LINE, k + 1)).otherwise(whole[n]).alias(n) for k, n in enumerate(whole))
+    return out.select(*(c for c in lines.columns if c != column), *parts)
 
 
 def latest_run(files: DataFrame, column: str = "path") -> DataFrame:
@@ -47,14 +54,15 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 #: Settings that a file need not give.
 DEFAULTS = {
-    "storage": {"block_size": 4096, "compression": "lz4"},
+    "storage": {"block_size": 4096, "default_compression": "lz4"},
     "meta": {"block_cache_mb": 256},
     "buffer": {"capacity_mb": 16384, "flush_watermark_pct": 80, "group_commit_wait_us": 500, "shards": 4},
     "ublk": {"nr_queues": 4, "queue_depth": 128, "io_buf_bytes": 1048576},
     "flush": {"compress_workers": 2, "coalesce_max_raw_bytes": 131072, "coalesce_max_lbas": 32, "skip_fully_superseded": True},
     "engine": {"zone_count": 4, "zone_size_blocks": 256},
-    "gc": {"interval_ms": 5000, "dead_ratio_threshold": 0.25, "pause_pct": 80, "resume_pct": 50, "max_rewrites": 64},
-    "dedup": {"rescan_interval_ms": 30000, "max_rescan": 256, "skip_pct": 90},
+    "gc": {"enabled": True, "scan_interval_ms": 5000, "dead_ratio_threshold": 0.25, "buffer_usage_max_pct": 80, "buffer_usage_resume_pct": 50, "max_rewrite_per_cycle": 64},
+    "dedup": {"enabled": True, "workers": 2, "buffer_skip_threshold_pct": 90, "rescan_interval_ms": 30000, "max_rescan_per_cycle": 256},
+    "service": {},
     "ha": {"enabled": False, "node_id": 0, "heartbeat_interval_ms": 3000, "lease_duration_secs": 30},
 }
 

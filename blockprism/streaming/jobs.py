@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +28,7 @@ def current_map(writes: DataFrame) -> DataFrame:
 
     The state is a block's highest seq; a lower one that comes late changes nothing.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        best = max((int(f["seq"].max()) for f in frames), default=-1)
-        known = state.get[0] if state.exists else -1
-        if best > known:
-            state.update((best,))
-            yield pd.DataFrame({"vol_id": [key[0]], "lba": [key[1]], "seq": [best]})
-
-    return writes.select(*KEY, "seq").groupBy(*KEY).applyInPandasWithState(step, "vol_id string, lba bigint, seq bigint", "seq bigint", "update", GroupStateTimeout.NoTimeout)
+    return writes.select(*KEY, "seq").groupBy(*KEY).agg(F.max("seq").alias("seq"))
 
 
 def first_copies(blocks: DataFrame, ts: str | None = None, horizon: str = "1 hour") -> DataFrame:

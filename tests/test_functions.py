@@ -20,15 +20,17 @@ def value(spark, *columns):
     return out[0] if len(out) == 1 else out
 
 
-@pytest.mark.parametrize(("text", "size"), [("4096", 4096), ("4k", 4096), (" 2 MB ", 2 << 20), ("1g", 1 << 30), ("3T", 3 << 40), ("5x", None), ("", None), ("99999999999t", None), ("7b", 7)])
+@pytest.mark.parametrize(("text", "size"), [("4096", 4096), ("4k", 4096), (" 2MB ", 2 << 20), ("2 MB", None), ("1.5g", None), ("1g", 1 << 30), ("3T", 3 << 40), ("5x", None), ("", None), ("99999999999t", None), ("7b", 7)])
 def test_sizes(spark, text, size):
     assert value(spark, S.parse_size(F.lit(text))) == size
 
 
 def test_durations_and_formats(spark):
-    assert value(spark, *(S.parse_duration(F.lit(x)) for x in ("90", "15m", "2h", "1d", "1y"))) == (90, 900, 7200, 86400, None)
+    assert value(spark, *(S.parse_duration(F.lit(x)) for x in ("90", "15m", "2h", "1d", "1y", "1.5h"))) == (90, 900, 7200, 86400, None, 5400)
+    assert value(spark, *(S.parse_size(F.lit(x), fractions=True) for x in ("1.5g", "7", "2k", "2kb", "x"))) == (3 << 29, 7, 2048, None, None)
     assert value(spark, *(S.human_bytes(F.lit(n)) for n in (0, 1023, 1536, 5 << 30))) == ("0 B", "1023 B", "1.50 KiB", "5.00 GiB")
-    assert value(spark, S.human_seconds(F.lit(3723))) == "01:02:03"
+    assert value(spark, *(S.human_seconds(F.lit(n)) for n in (3723, 90_061, 60, 0))) == ("1h2m3s", "1d1h1m1s", "1m", "0s")
+    assert value(spark, *(S.human_nanoseconds(F.lit(n)) for n in (999, 1500, 2_000_000, 3_250_000_000))) == ("999ns", "1.500us", "2.000ms", "3.250s")
 
 
 def test_sizes_of_reads(spark):
@@ -47,7 +49,7 @@ def test_bands_and_codes(spark):
     assert value(spark, *(S.gc_threshold(F.lit(p)) for p in (51, 50, 30, 10))) == (0.7, 0.5, 0.3, 0.25)
     assert value(spark, *(S.compression_code(F.lit(n)) for n in ("LZ4", "none", "snappy"))) == (1, 0, None)
     assert value(spark, *(S.compression_name(F.lit(n)) for n in (2, 9))) == ("zstd", None)
-    assert value(spark, *(S.error_code(F.lit(n)) for n in ("ok", "io", "what"))) == (0, -1, -8)
+    assert value(spark, *(S.error_code(F.lit(n)) for n in ("ok", "io", "meta", "invalid", "no_space", "config", "what"))) == (0, -3, -3, -2, -5, -6, -7)
     assert value(spark, S.mode(F.lit(False), F.lit(True)), S.mode(F.lit(True), F.lit(False))) == ("standby", "bare")
     assert value(spark, S.lease_left(F.lit(50), F.lit(10), F.lit(30)), S.lease_expired(F.lit(41), F.lit(10), F.lit(30))) == (0, True)
     assert value(spark, S.hydrates(F.lit(9), F.lit(5), F.lit(1), F.lit(1)), S.hydrates(F.lit(9), F.lit(5), F.lit(2), F.lit(1))) == (True, False)
@@ -141,10 +143,12 @@ def test_text_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "summary")).first()["final"] is True
     lines = spark.createDataFrame([("2024-01-01T00 \x1b[33mWARN\x1b[0m a::b: hello there",), ("junk",)], "value string")
     assert [tuple(r) for r in logs.log_lines(lines).collect()] == [("2024-01-01T00", "WARN", "a::b", "hello there")]
+    hinted = spark.createDataFrame([("thread panicked",), ("junk",)], "value string")
+    assert [tuple(r) for r in logs.log_lines(hinted, hints="panic").collect()] == [("", "TEXT", "", "thread panicked")]
     files = spark.createDataFrame([("/r/1/summary.json",), ("/r/3/x",), ("/r/2/summary.json",)], "path string")
     assert logs.latest_run(files).first()["run"] == "/r/2"
-    settings = {(r["section"], r["name"]): r["value"] for r in logs.config(spark, '[gc]\npause_pct = 70\n[meta]\npath = "/x"\n').collect()}
-    assert settings["gc", "pause_pct"] == "70" and settings["buffer", "shards"] == "4" and settings["meta", "path"] == "/x" and settings["ha", "enabled"] == "false"
+    settings = {(r["section"], r["name"]): r["value"] for r in logs.config(spark, '[gc]\nbuffer_usage_max_pct = 70\n[meta]\npath = "/x"\n').collect()}
+    assert settings["gc", "buffer_usage_max_pct"] == "70" and settings["dedup", "workers"] == "2" and settings["buffer", "shards"] == "4" and settings["meta", "path"] == "/x" and settings["ha", "enabled"] == "false"
 
 
 def test_tables(spark, tmp_path):
