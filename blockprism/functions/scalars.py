@@ -237,7 +237,8 @@ def human_bytes(n) -> Column:
     n = _c(n).cast("double")
     out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     for name, shift in (("KiB", 10), ("MiB", 20), ("GiB", 30), ("TiB", 40)):
-        out = F.when(n >= 1 << shift, F.concat(F.format_string("%.2f", n / (1 << shift)), F.lit(f" {name}"))).otherwise(out)
+        value = n.cast("decimal(20,0)") / F.lit(1 << shift).cast("decimal(20,0)")
+        out = F.when(n >= 1 << shift, F.concat(F.bround(value, F.lit(2)).cast("decimal(38,2)").cast("string"), F.lit(f" {name}"))).otherwise(out)
     return out
 
 
@@ -252,7 +253,7 @@ def human_seconds(s) -> Column:
 
 
 def human_nanoseconds(ns) -> Column:
-    """Nanoseconds in the largest unit of which there is one, with three decimals above ``ns``."""
+    """Nanoseconds in the largest unit of which there is one, with three decimals above ``ns``; a half of the last goes up."""
     ns = _c(ns).cast("bigint")
     out = F.concat(ns.cast("string"), F.lit("ns"))
     for name, scale in (("us", 1e3), ("ms", 1e6), ("s", 1e9)):

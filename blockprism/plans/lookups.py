@@ -149,11 +149,10 @@ def reverse_after_drop(d):
     return dedup.drop_entry(d.index, d.reverse, d.index.filter("pba % 3 = 0"))[1].select("pba", "hash")
 
 
-@query("+f AS (SELECT start * 7 AS s, count AS n FROM rngs WHERE event_id % 3 = 0) SELECT DISTINCT pba FROM stored c WHERE pba % 2 = 0 AND NOT EXISTS (SELECT 1 FROM stored WHERE stored.pba = c.pba + 5) AND NOT EXISTS (SELECT 1 FROM f WHERE c.pba >= s AND c.pba < s + n)", "stored", "rngs")
+@query("+f AS (SELECT start * 7 AS s, count % 20 + 1 AS n FROM rngs WHERE event_id % 40 = 1) SELECT pba FROM stored c WHERE pba % 2 = 0 AND pba % 6 <> 0 AND NOT EXISTS (SELECT 1 FROM f WHERE c.pba >= s AND c.pba < s + n)", "stored", "rngs")
 def cleanup_allowed(d):
-    dead = d.stored.filter("pba % 2 = 0").select("pba")
-    free = d.ranges.filter("event_id % 3 = 0").select((F.col("start") * 7).alias("start_pba"), F.col("count").alias("block_count"))
-    return dedup.cleanup_gate(dead, d.stored.withColumn("pba", F.col("pba") - 5), free).distinct()
+    free = d.ranges.filter("event_id % 40 = 1").select((F.col("start") * 7).alias("start_pba"), (F.col("count") % 20 + 1).alias("block_count"))
+    return dedup.cleanup_gate(d.stored.filter("pba % 2 = 0").select("pba"), d.stored.filter("pba % 6 = 0"), free)
 
 
 # The write log
@@ -290,10 +289,11 @@ def durations_parsed(d):
     "SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KiB', n / 1024.0) ELSE printf('%.2f MiB', n / 1048576.0) END AS bytes, "
     "CASE WHEN n = 0 THEN '0s' ELSE CASE WHEN n >= 86400 THEN (n // 86400) || 'd' ELSE '' END || CASE WHEN n % 86400 >= 3600 THEN (n % 86400 // 3600) || 'h' ELSE '' END || CASE WHEN n % 3600 >= 60 THEN (n % 3600 // 60) || 'm' ELSE '' END || CASE WHEN n % 60 > 0 THEN (n % 60) || 's' ELSE '' END END AS time, "
     "CASE WHEN n < 1000 THEN n || 'ns' WHEN n < 1000000 THEN printf('%.3fus', n / 1000.0) ELSE printf('%.3fms', n / 1000000.0) END AS nanos "
-    "FROM (SELECT event_id, event_id * event_id % 3000000 AS n FROM events)"
+    "FROM (SELECT event_id, n + CASE WHEN n % 1000 = 500 THEN 1 ELSE 0 END AS n FROM (SELECT event_id, event_id * event_id % 3000000 AS n FROM events))"
 )
 def amounts_written(d):
     n = F.col("event_id") * F.col("event_id") % 3_000_000
+    n = n + F.when(n % 1000 == 500, 1).otherwise(0)  # no halves of the last digit
     return d.events.select("event_id", S.human_bytes(n).alias("bytes"), S.human_seconds(n).alias("time"), S.human_nanoseconds(n).alias("nanos"))
 
 
