@@ -326,3 +326,44 @@ def test_scores_match_plain_naive_bayes(spark):
         odds = [np.log((seen["block"][w] + 1) / (seen["block"].total() + len(vocabulary)) / ((seen["allow"][w] + 1) / (seen["allow"].total() + len(vocabulary)))) for w in own if w in vocabulary]
         expected = sum(odds) + np.log(12 / 12) if odds else 0
         assert abs(found[k]["score"] - expected) < 1e-9, PAGES[k]
+
+
+# Language identification by a plain tree
+
+
+def plain_bits(trained, text, order=3):
+    """Code length of a text by prediction by partial matching with exclusion, from counts in dictionaries."""
+    counts = {}
+    for t in trained:
+        for k, byte in enumerate(t):
+            for n in range(order + 1):
+                context = tuple((t[k - j] if k >= j else None) for j in range(n, 0, -1))
+                counts.setdefault(context, Counter())[byte] += 1
+
+    def probability(context, byte):
+        shorter = probability(context[1:], byte) if context else 1 / 256
+        seen = counts.get(context)
+        if not seen:
+            return shorter
+        total, distinct = seen.total(), len(seen)
+        if seen[byte]:
+            return seen[byte] / (total + distinct)
+        rest = 1 - sum(probability(context[1:], b) if context else 1 / 256 for b in seen)
+        return distinct / (total + distinct) * shorter / rest
+
+    return sum(-np.log2(probability(tuple((text[k - j] if k >= j else None) for j in range(order, 0, -1)), byte)) for k, byte in enumerate(text))
+
+
+def test_code_lengths_match_a_plain_tree():
+    trained = {"a": [b"abra cadabra", b"bar"], "b": [b"dada cab", b"card"]}
+    rows = []
+    for k, texts in enumerate(trained.values()):
+        for t in texts:
+            data = np.frombuffer(t, np.uint8).astype(np.int64)
+            past = [np.concatenate([np.zeros(n, np.int64), data])[: len(data)] for n in range(4)]
+            rows += [(k, g) for g in (past[3] << 24 | past[2] << 16 | past[1] << 8 | past[0]).tolist()]
+    lang, gram = (np.array(x) for x in zip(*rows, strict=True))
+    model = language.train(["a", "b"], lang, gram, np.ones(len(gram)))
+    for text in (b"abra", b"dabcard", b"a", b"cab bar"):
+        found = model.lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert np.allclose(found, [plain_bits(x, text) for x in trained.values()], rtol=1e-4), text

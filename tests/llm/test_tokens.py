@@ -171,3 +171,30 @@ def test_round_trip_in_ascending_order(spark, encoder):
         expected.append((k, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert found == expected
+
+
+def test_groups_hold_several_lengths_of_about_equal_cardinality():
+    counts = {x: 20 + x % 7 for x in range(65, 1024)} | {1024: 12_000}
+    found = packing.grouped(counts, 48)
+    assert [x for own in found for x in own] == sorted(counts, reverse=True)
+    assert len(found) <= 48 and found[0] == [1024]
+    sizes = [sum(counts[x] for x in own) for own in found[1:]]
+    assert min(map(len, found[1:])) > 10 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_rooms_follow_the_slots():
+    counts = {900: 5, 700: 4, 500: 9, 300: 3}
+    slots, base = packing.plan_large(counts, 1024, 2)
+    used = {}
+    for length, rows in slots.rows.items():
+        rows = sorted(rows)
+        for (rank, _, first), to in zip(rows, [*(r[0] for r in rows[1:]), counts[length]], strict=True):
+            for k in range(to - rank):
+                used[first + k] = used.get(first + k, 0) + length
+    rooms = packing.rooms_of(slots, counts, base, 1024)
+    assert len(used) == base and max(used.values()) <= 1024
+    expected = {}
+    for x in used.values():
+        expected[1024 - x] = expected.get(1024 - x, 0) + 1
+    expected.pop(0, None)
+    assert dict(rooms) == expected
