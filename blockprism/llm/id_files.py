@@ -59,7 +59,10 @@ class _Mixer:
         self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first ``n`` blocks: predicted ids of order 2 and 1, and where their shares end."""
+        """For the first ``n`` blocks: predicted ids of order 2 and 1, and where their shares end.
+
+        Where both predict the same id, the share of order 2 is that of both together.
+        """
         last, mask = self.last[:n], (1 << _SLOTS) - 1
         self.at = (self.table_row[:n] + ((last * 0x9E35 + self.before[:n]) >> 7 & mask), self.table_row[:n] + ((last ^ last >> _SLOTS) & mask))
         self.seen = (self.tables[0].take(self.at[0]), self.tables[1].take(self.at[1]))
@@ -67,32 +70,52 @@ class _Mixer:
         self.sure = self.share_row[:n] + ((self.trust[0] << 2) + self.trust[1])
         share = self.shares.take(self.sure)
         self.two, self.one = share >> _MIX, share & ((1 << _MIX) - 1)
-        return self.seen[0] >> 2, self.seen[1] >> 2, self.two, self.two + (((1 << _MIX) - self.two) * self.one >> _MIX)
+        p2, p1 = self.seen[0] >> 2, self.seen[1] >> 2
+        rest = ((1 << _MIX) - self.two) * self.one >> _MIX
+        return p2, p1, self.two + (rest & _mask(p2 == p1)), self.two + rest
 
-    def update(self, ids: np.ndarray, is_two: np.ndarray, one_right: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, two_right: np.ndarray, one_right: np.ndarray) -> None:
         """Whether orders 2 and 1 were right; order 1's share is among what order 2 misses."""
         n = len(ids)
-        two = self.two + ((np.where(is_two, _MOST[0], _LEAST_SHARE) - self.two) >> 5)
-        moved = self.one + ((np.where(one_right, _MOST[1], _LEAST_SHARE) - self.one) >> 5)
-        self.shares[self.sure] = (two << _MIX) + np.where(is_two, self.one, moved)
+        was_two = _mask(two_right)
+        two = self.two + (_LEAST_SHARE + (was_two & (_MOST[0] - _LEAST_SHARE)) - self.two >> 5)
+        moved = _LEAST_SHARE + (_mask(one_right) & (_MOST[1] - _LEAST_SHARE)) - self.one >> 5
+        self.shares[self.sure] = (two << _MIX) + self.one + (moved & ~was_two)
         fresh = ids << 2
-        for k, right in enumerate((is_two, one_right)):
+        for k, right in enumerate((two_right, one_right)):
             seen, trust = self.seen[k], self.trust[k]
-            self.tables[k][self.at[k]] = np.where(right, seen + (trust < 3), np.where(trust == 0, fresh, seen - 1))
+            step = (right & (trust < 3)).view(np.int8) - (~right).view(np.int8)
+            new = _mask(~right & (trust == 0), np.int32)
+            self.tables[k][self.at[k]] = (seen + step & ~new) | (fresh & new)
         np.multiply(self.last[:n], 0x2F0B5, out=self.before[:n])  # as the hash of two needs it
         self.last[:n] = ids
 
 
-def _narrow(unit: np.ndarray, low: np.ndarray, is_two: np.ndarray, is_one: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The interval of the order that was right."""
-    begin = np.where(is_two, 0, np.where(is_one, two, one))
-    return low + unit * begin, unit * (np.where(is_two, two, np.where(is_one, one, 1 << _MIX)) - begin)
+def _mask(true: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    """All bits where true: cheaper to choose by than ``np.where``."""
+    return -true.astype(kind)
+
+
+def _narrow(low: np.ndarray, whole: np.ndarray, to_two: np.ndarray, to_one: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The interval of the order that was right, and the mask of order 0, from where the orders' shares end."""
+    m2, m1 = _mask(is_two), _mask(is_one)
+    m0 = ~(m2 | m1)
+    begin = (to_two & m1) | (to_one & m0)
+    return low + begin, ((to_two & m2) | (to_one & m1) | (whole & m0)) - begin, m0
+
+
+def _part(low: np.ndarray, unit: np.ndarray, part: np.ndarray, m0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of order 0 that an id has, of all where another order was right."""
+    part = (part & m0) | (~m0 & (1 << _ZERO))
+    return low + unit * (part >> 20 & 0xFFFFF), unit * (part & 0xFFFFF)
 
 
 def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """After a word is put out where one is due: a size below ``_LEAST`` that straddles a boundary is cut there."""
-    cut = np.where((low ^ (low + size)) < _LEAST, size, -low & (_LEAST - 1))
-    return np.where(due, low << 16 & _LOW, low), np.where(due, cut << 16, size)
+    at = np.flatnonzero(due & ((low ^ (low + size)) >= _LEAST))
+    size[at] = -low[at] & (_LEAST - 1)
+    by = due.astype(np.int64) << 4
+    return low << by & _LOW, size << by
 
 
 def _order_zero(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +146,8 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(k, block).T)
     low, size = np.zeros(k, np.int64), np.full(k, _LOW, np.int64)
-    width = 3 * block + 4
-    out, used = np.zeros(k * width, np.uint16), np.arange(k) * width
+    words, put = np.zeros((block + 3, k), np.uint16), np.zeros((block + 3, k), bool)  # at most one word a step
+    more: list[tuple[np.ndarray, int, np.ndarray]] = []  # blocks that put out another in a step, and what
     mixer = _Mixer(k)
     for t in range(block):
         n = k if t < lengths[-1] else k - 1
@@ -132,28 +155,36 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
             break
         x = grid[t, :n]
         p2, p1, two, one = mixer.predict(n)
-        is_two, one_right = x == p2, x == p1
-        lo, sz = _narrow(size[:n] >> _MIX, low[:n], is_two, one_right, two, one)
-        predicted, part = is_two | one_right, zero.take(x)
-        unit = sz >> _ZERO
-        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20)), np.where(predicted, sz, unit * (part & 0xFFFFF))
-        due = sz < _LEAST
-        out[used[:n]] = lo >> 32  # is overwritten if it was not due
-        used[:n] += due
+        unit, two_right, one_right = size[:n] >> _MIX, x == p2, x == p1
+        lo, sz, m0 = _narrow(low[:n], unit << _MIX, unit * two, unit * one, two_right, one_right & ~two_right)
+        lo, sz = _part(lo, sz >> _ZERO, zero.take(x), m0)
+        due = np.less(sz, _LEAST, out=put[t, :n])
+        words[t, :n] = lo >> 32  # counts only if it was due
         lo, sz = _shifted(lo, sz, due)
         at = np.flatnonzero(sz < _LEAST)
         while len(at):  # a few blocks have another word due
-            out[used[at]] = lo[at] >> 32
-            used[at] += 1
-            lo[at], sz[at] = _shifted(lo[at], sz[at], np.True_)
+            more.append((at, t, (lo[at] >> 32).astype(np.uint16)))
+            lo[at], sz[at] = _shifted(lo[at], sz[at], np.ones(len(at), bool))
             at = at[sz[at] < _LEAST]
         low[:n], size[:n] = lo, sz
-        mixer.update(x, is_two, one_right)
-    for shift in (32, 16, 0):  # what tells the last interval
-        out[used] = low >> shift & 0xFFFF
-        used += 1
+        mixer.update(x, two_right, one_right)
+    words[block:], put[block:] = [low >> shift & 0xFFFF for shift in (32, 16, 0)], True  # what tells the last interval
+    out, used = _by_block(words, put, more)
     sums = np.array([zlib.crc32(part.astype("<u4").tobytes()) for part in np.split(ids, np.cumsum(lengths)[:-1])], np.uint32)
-    return [out[j * width : used[j]] for j in range(k)], sums, known, counts
+    return np.split(out, np.cumsum(used)[:-1]), sums, known, counts
+
+
+def _by_block(words: np.ndarray, put: np.ndarray, more: list[tuple[np.ndarray, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The words that blocks put out, block by block, and how many each has; ``more`` is in the order of steps."""
+    steps, k = words.shape
+    put = np.ascontiguousarray(put.T)
+    out, used = np.ascontiguousarray(words.T)[put], put.sum(axis=1)
+    if more:
+        at, values = np.concatenate([j for j, _, _ in more]), np.concatenate([v for _, _, v in more])
+        place = at * steps + np.concatenate([np.full(len(j), t) for j, t, _ in more])
+        out = np.insert(out, np.cumsum(put.reshape(-1), dtype=np.int32)[place], values)  # equal places keep their order
+        used = used + np.bincount(at, minlength=k)
+    return out, used
 
 
 def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -175,29 +206,29 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         if n == 0:
             break
         p2, p1, two, one = mixer.predict(n)
-        unit = size[:n] >> _MIX
-        at = (code[:n] - low[:n]) / unit  # of at most 48 and 32 bits: the quotient's whole part is exact
-        is_two = at < two
-        is_one = (at < one) & ~is_two
-        lo, sz = _narrow(unit, low[:n], is_two, is_one, two, one)
+        unit, off = size[:n] >> _MIX, code[:n] - low[:n]
+        to_two, to_one = unit * two, unit * one
+        is_two = off < to_two
+        is_one = (off < to_one) & ~is_two
+        lo, sz, m0 = _narrow(low[:n], unit << _MIX, to_two, to_one, is_two, is_one)
         unit = sz >> _ZERO
-        part = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")
-        predicted = is_two | is_one
-        x = np.where(predicted, np.where(is_two, p2, p1), (part >> 40).astype(np.int32))
-        lo, sz = np.where(predicted, lo, lo + unit * (part >> 20 & 0xFFFFF)), np.where(predicted, sz, unit * (part & 0xFFFFF))
+        part = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")  # of at most 48 and 32 bits: the quotient's whole part is exact
+        x = np.where(is_two, p2, np.where(is_one, p1, (part >> 40).astype(np.int32)))
+        lo, sz = _part(lo, unit, part, m0)
         due = sz < _LEAST
-        code[:n] = np.where(due, (code[:n] << 16 & _LOW) | source.take(read[:n]), code[:n])
-        read[:n] += due
+        by = due.astype(np.int64)
+        code[:n] = (code[:n] << (by << 4) & _LOW) | (source.take(read[:n]) & -by)
+        read[:n] += by
         lo, sz = _shifted(lo, sz, due)
         at = np.flatnonzero(sz < _LEAST)
         while len(at):
             code[at] = (code[at] << 16 & _LOW) | source[read[at]]
             read[at] += 1
-            lo[at], sz[at] = _shifted(lo[at], sz[at], np.True_)
+            lo[at], sz[at] = _shifted(lo[at], sz[at], np.ones(len(at), bool))
             at = at[sz[at] < _LEAST]
         low[:n], size[:n] = lo, sz
         out[t, :n] = x
-        mixer.update(x, is_two, x == p1)
+        mixer.update(x, x == p2, x == p1)
     return out.T
 
 
