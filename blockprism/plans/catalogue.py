@@ -227,15 +227,15 @@ def free_extents(d):
     return space.free_extents(d.allocated, TOTAL, bucket=256)
 
 
-@query("+x AS (SELECT start AS s, start + count AS e FROM rngs), y AS (SELECT s, e, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM (SELECT * FROM x WHERE s % 5 = 0 AND e - s < 40)), z AS (SELECT s, e, sum(n) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM y) SELECT min(s) AS start_pba, max(e) - min(s) AS block_count FROM z GROUP BY k", "rngs")
+@query("+x AS (SELECT event_id * 97 AS s, event_id * 97 + count AS e FROM rngs), y AS (SELECT s, e, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM x), z AS (SELECT s, e, sum(n) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM y) SELECT min(s) AS start_pba, max(e) - min(s) AS block_count FROM z GROUP BY k", "rngs")
 def merged_extents(d):
-    extents = d.ranges.filter("start % 5 = 0 and count < 40").select(F.col("start").alias("start_pba"), F.col("count").alias("block_count"))
-    return space.merged(extents, region=128)
+    """Extents of up to 300 blocks, one each 97: some reach the next one, some leave gaps."""
+    return space.merged(d.ranges.select((F.col("event_id") * 97).alias("start_pba"), F.col("count").alias("block_count")), region=4096)
 
 
-@query(f"+{_FREE}, q AS (SELECT DISTINCT start AS s, count AS n FROM rngs WHERE start >= 8 AND count < 6) SELECT s AS start_pba, n AS block_count, start_pba AS other_start, block_count AS other_count FROM q JOIN fr ON s < start_pba + block_count AND start_pba < s + n", "alloc", "rngs")
+@query(f"+{_FREE}, q AS (SELECT DISTINCT start + 8 AS s, count % 5 + 1 AS n FROM rngs) SELECT s AS start_pba, n AS block_count, start_pba AS other_start, block_count AS other_count FROM q JOIN fr ON s < start_pba + block_count AND start_pba < s + n", "alloc", "rngs")
 def free_overlaps(d):
-    freed = d.ranges.filter("start >= 8 and count < 6").select(F.col("start").alias("start_pba"), F.col("count").alias("block_count"))
+    freed = d.ranges.select((F.col("start") + 8).alias("start_pba"), (F.col("count") % 5 + 1).alias("block_count"))
     return space.overlapping(freed, space.free_extents(d.allocated, TOTAL, bucket=256), bucket=64)
 
 
@@ -262,17 +262,24 @@ def pack_fragments(d):
     return space.pack(d.fragments)
 
 
-@query("+s AS (SELECT order_key AS id, order_key % 50 AS pba, order_key * 13 % 3000 AS start, order_key * 13 % 3000 + size AS e FROM frags WHERE size < 1500) SELECT a.pba, a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.pba = b.pba AND a.start < b.e AND b.start < a.e AND a.id < b.id", "frags")
+@query("+s AS (SELECT order_key AS id, order_key // 8 AS pba, order_key * 1313 % 6000 AS start, order_key * 1313 % 6000 + size AS e FROM frags) SELECT a.pba, a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.pba = b.pba AND a.start < b.e AND b.start < a.e AND a.id < b.id", "frags")
 def slot_overlaps(d):
-    start = F.col("order_key") * 13 % 3000
-    return space.slot_overlaps(d.fragments.filter("size < 1500").select(F.col("order_key").alias("id"), (F.col("order_key") % 50).alias("pba"), start.alias("start"), (start + F.col("size")).alias("end")))
+    """Eight fragments a block."""
+    start = F.col("order_key") * 1313 % 6000
+    return space.slot_overlaps(d.fragments.select(F.col("order_key").alias("id"), S.idiv("order_key", 8).alias("pba"), start.alias("start"), (start + F.col("size")).alias("end")))
 
 
-@query()
+_LANES = "q AS (SELECT event_id // 64 AS lane, event_id AS order_key, event_id * 7 % 300 + 1 AS blocks, row_number() OVER (PARTITION BY event_id // 64 ORDER BY event_id) AS r FROM rngs), x AS (SELECT event_id // 64 AS lane, list({'s': event_id * 300, 'n': count} ORDER BY event_id) AS l FROM rngs GROUP BY 1)"
+_SERVED = "SELECT f.lane, q.r, q.order_key, q.blocks, f.l, coalesce(list_filter(f.l, lambda x: x.n >= q.blocks)[1], list_filter(f.l, lambda x: x.n = list_max(list_transform(f.l, lambda y: y.n)))[1]) AS p FROM f JOIN q ON q.lane = f.lane AND q.r = f.r + 1"
+_ALLOCATED = f"{_LANES}, f AS (SELECT lane, 0::BIGINT AS r, 0::BIGINT AS order_key, 0::BIGINT AS start_pba, 0::BIGINT AS given, l FROM x UNION ALL SELECT lane, r, order_key, p.s, CASE WHEN p IS NULL THEN 0 ELSE least(p.n, blocks) END, list_filter(list_transform(l, lambda x: CASE WHEN x.s = p.s THEN {{'s': x.s + least(x.n, blocks), 'n': x.n - least(x.n, blocks)}} ELSE x END), lambda x: x.n > 0) FROM ({_SERVED}))"
+
+
+@query(f"+{_ALLOCATED} SELECT lane::VARCHAR AS lane, order_key, start_pba, given FROM f WHERE r > 0", "rngs", recursive=True)
 def allocation(d):
-    free = space.free_extents(d.allocated, TOTAL, bucket=256).withColumn("lane", F.lit("a"))
-    wants = d.ranges.filter("event_id < 400").select(F.lit("a").alias("lane"), F.col("event_id").alias("order_key"), (F.col("count") % 4 + 1).alias("blocks"))
-    return space.allocate(free, wants)
+    """Lanes of 64 extents and as many requests, of which the last get less than they ask for."""
+    rows = d.ranges.withColumn("lane", S.idiv("event_id", 64).cast("string"))
+    free = rows.select("lane", (F.col("event_id") * 300).alias("start_pba"), F.col("count").alias("block_count"))
+    return space.allocate(free, rows.select("lane", F.col("event_id").alias("order_key"), (F.col("event_id") * 7 % 300 + 1).alias("blocks")))
 
 
 # Garbage collection
@@ -364,8 +371,8 @@ def dedup_gaps(d):
 
 @query()
 def dedup_acceptance(d):
-    """Hits of the later documents on blocks of the index, folded in order."""
-    found = d.doc_blocks.filter("doc_id % 2 = 1").join(d.index.select("hash", "pba"), "hash")
+    """Hits of all documents on blocks of the index, folded in order."""
+    found = d.doc_blocks.join(d.index.select("hash", "pba"), "hash")
     batch = found.select((F.col("doc_id") * 1000 + F.col("lba")).alias("seq"), "vol_id", "lba", "pba", F.lit(None).cast("bigint").alias("old_pba")).filter("vol_id is not null")
     return dedup.accept_hits(batch, d.index_counts)
 
