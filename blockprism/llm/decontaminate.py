@@ -8,8 +8,9 @@ zero, the block selects the patterns that end with it, their first block narrows
 them down, and direct comparison confirms an occurrence.
 
 Documents are scanned where they lie, nothing is shuffled.  The benchmark goes to
-the executors in blocks of at most ``block_bytes``; a larger one takes several
-passes, between which the spans found so far travel with the documents.
+the executors in blocks of about ``block_bytes``, whose searchers take some 150
+bytes for each of its bytes and serve all tasks of a worker; a larger one takes
+several passes, between which the spans found so far travel with the documents.
 
 Nulls and empty texts have no words and are never hit.  A repeated document row
 gives a repeated result row.  An empty benchmark hits nothing.  A null item_id
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockprism.llm.common import Scratch, as_bytes, pieces, schema_of, with_kept
+from blockprism.llm.common import Scratch, as_bytes, held, pieces, schema_of, with_kept
 
 #: Separators become spaces and A-Z lower case: the words are then what split() finds.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,9 +83,11 @@ def searchers(items: list[tuple[str, bytes]], window: int) -> list[WuManber]:
 
 
 def _scan(items: list[tuple[str, bytes]], window: int, last: bool):
+    name = f"searchers-{window}-{hashlib.sha256(repr(sorted(items)).encode()).hexdigest()}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_by = searchers(items, window)
-        for batch in pieces(batches, 1):
+        found_by = held(name, lambda: searchers(items, window))
+        for batch in pieces(batches, 1, holding=name):
             n_words, n_hit, n_items, digests, all_spans, all_items = [], [], [], [], [], []
             names = batch.schema.names
             earlier = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in names else (([], []) for _ in range(batch.num_rows))
@@ -114,7 +117,7 @@ def _scan(items: list[tuple[str, bytes]], window: int, last: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, keep: Sequence[str] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20, keep: Sequence[str] = ()) -> DataFrame:
     """Per document: words, words inside an occurrence of a benchmark window, items that occur.
 
     ``items_sha256`` is over the ids of the occurring items, sorted as strings.
