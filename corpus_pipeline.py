@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each of which applies one operator of ``blockprism.llm``.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all documents that the
-stage before it kept; all but the last return the columns of ``documents``.
+stage before it kept; all but the last return the columns of ``documents``, and
+drop others.  An empty table gives an empty table in each stage.
 """
 
 from __future__ import annotations
@@ -30,14 +31,21 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned, labelled with it; ``und`` goes."""
+    """Documents in a language that was learned, labelled with it; ``und`` goes.
+
+    So texts that are null, empty or without a letter go; repeated rows stay.
+    """
     training = docs.filter(~held_out(F.col("doc_id")))
     found = languages(docs, training, keep=COLUMNS).filter("lang_pred <> 'und'")
     return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"kept.{c}") for c in COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest key, of each group of texts that share 0.8 of their five-word shingles."""
+    """One document, that of the smallest key, of each group of texts that share 0.8 of their five-word shingles.
+
+    Repeated rows are copies, so one stays.  Texts without a word, nulls among them,
+    are one group.  Ids may be null or repeated: rows then get keys of their own.
+    """
     scratch = Scratch(spark)
     keyed = _keyed(docs, scratch)
     found = similar_groups(keyed, id_col="row_key")
@@ -46,19 +54,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together;
+    with an empty benchmark all stay.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return found.filter("not contaminated").select("kept.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the characters of secrets replaced by ``*``."""
+    """All documents, the characters of secrets replaced by ``*``.
+
+    A null text stays null, an empty one empty; each repeated row is masked for itself.
+    """
     found = scan(docs, keep=COLUMNS)
     return found.select(*(masked(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(f"kept.{c}") for c in COLUMNS))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' pieces in training sequences."""
+    """All documents' pieces in training sequences.
+
+    A null or empty text is a piece of the end id alone; each repeated row has pieces of its own.
+    """
     return pack(docs, tokenizer_path())
 
 
