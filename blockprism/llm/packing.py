@@ -40,6 +40,8 @@ from blockprism.llm.common import Scratch, lookup, pieces
 from blockprism.llm.token_ids import encoder
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: Bytes of text that a worker cuts at once: working arrays take some 32 times as much.
+_PIECE = 1 << 18
 #: Rows of a length that are ranked in one task, about.
 _RANKED = 100_000
 
@@ -47,7 +49,7 @@ _RANKED = 100_000
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        for batch in pieces(batches, 1, 1 << 20, tokenizer):
+        for batch in pieces(batches, 1, _PIECE, tokenizer):
             ids, sizes = tokens.encode(batch.column(1))
             out: list[tuple] = []
             at = 0

@@ -59,21 +59,49 @@ class _Table:
             hashes, places, at = hashes[~won], places[~won], at[~won] + 1 & self.mask
 
 
+class _Growing:
+    """An array that grows at its end, by doubling: an addition costs what is added, not what is there."""
+
+    def __init__(self, kind: type, start: tuple = ()):
+        self.n, self.room = len(start), np.array(start, kind)
+
+    def add(self, values: np.ndarray) -> None:
+        to = self.n + len(values)
+        if to > len(self.room):
+            room = np.empty(max(to, 2 * len(self.room), 1 << 12), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : to] = values
+        self.n = to
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class _Lists:
     """Lists of ids, one behind another; an odd one stands for what has to be encoded in its context."""
 
     def __init__(self):
-        self.ids, self.starts, self.counts, self.odd = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.ids, self.starts, self.counts, self.odd = (_Growing(t) for t in (np.uint32, np.int64, np.int64, bool))
 
     def add(self, ids: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.ids, self.counts, self.odd = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts]), np.concatenate([self.odd, odd])
+        self.starts.add(self.ids.n + np.cumsum(counts) - counts)
+        for have, more in ((self.ids, ids), (self.counts, counts), (self.odd, odd)):
+            have.add(more)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists at these places, one behind another, and their lengths."""
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + counts, counts)], counts
+        counts = self.counts.all[at]
+        return self.ids.all[_slices(self.starts.all[at], counts)], counts
+
+
+def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of slices, one behind another."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes)
+    at += np.arange(len(at))
+    return at
 
 
 #: A word: a space or newline, or a text's beginning, and then no white space at either end, of characters of which all
@@ -81,6 +109,8 @@ class _Lists:
 _regular = re.compile("[ \n]?[!-~\xa1-\u024f](?:[!-~\xa1-\u024f\t]*[!-~\xa1-\u024f])?").fullmatch
 
 
+#: Bytes of characters that are regular everywhere in a word; of two bytes, those that begin by C2 and C9 are so in part.
+_PLAIN = np.array([33 <= c < 127 or 0x80 <= c < 0xC0 or 0xC2 <= c < 0xCA for c in range(256)], bool)
 _LETTER, _PUNCTUATION = (np.array([c < 128 and test(chr(c)) for c in range(256)], bool) for test in (str.isalpha, lambda c: c in string.punctuation))
 
 
@@ -115,31 +145,41 @@ class Encoder:
 
     def _forget_words(self) -> None:
         self.words, self.word_ids = _Table(), _Lists()
-        self.word_bytes, self.word_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.word_bytes, self.word_ends = _Growing(np.uint8), _Growing(np.int64, (0,))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, new: list[bytes], hashes: np.ndarray) -> None:
-        words = [w.decode() for w in new]
-        odd = np.array([not _regular(w) for w in words], bool)
-        first = np.array([w[0] not in b" \n" for w in new], bool)  # of its text: stands behind nothing
-        order = np.concatenate([np.flatnonzero(k) for k in (~odd & ~first, ~odd & first, odd)])
-        inside = [words[k] for k in order[: int((~odd & ~first).sum())]]
-        alone = self._plain([words[k] for k in order[len(inside) : int((~odd).sum())]])
+    def _learn_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        size, head = ends - starts, data[starts]
+        first = (head != 32) & (head != 10)  # of its text: stands behind nothing
+        own = data[_slices(starts, size)]
+        uncommon = ~_PLAIN[own]
+        uncommon[:-1] |= ((own[:-1] == 0xC2) & (own[1:] < 0xA1)) | ((own[:-1] == 0xC9) & (own[1:] > 0x8F))
+        heads = np.cumsum(size) - size
+        uncommon[heads] &= first | (size == 1)
+        odd = np.logical_or.reduceat(uncommon, heads)
+        for k in np.flatnonzero(odd).tolist():  # with a tab, or odd
+            odd[k] = not _regular(data[starts[k] : ends[k]].tobytes().decode())
+        order = np.argsort(np.where(odd, 2, first), kind="stable")
+        size = size[order]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        own = data[_slices(starts[order], size)]
+        raw = own.tobytes()
+        inside, regular = int((~odd & ~first).sum()), int((~odd).sum())
+        cuts = [*range(0, inside, _JOINED), inside]
+        joined = [raw[edges[a] : edges[b]].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        alone = self._plain([raw[edges[k] : edges[k + 1]].decode() for k in range(inside, regular)])
         ids, counts = [], []
-        joined = ["".join(inside[k : k + _JOINED]) for k in range(0, len(inside), _JOINED)]
-        size = np.fromiter((len(new[k]) for k in order), np.int64, len(order))
-        for k, found in enumerate(self._plain(joined)):
+        for a, b, found in zip(cuts, cuts[1:], self._plain(joined), strict=False):
             reached = np.concatenate([[0], np.cumsum(self.width[found])])
-            ends = np.cumsum(size[: len(inside)][k * _JOINED : (k + 1) * _JOINED])
             ids.append(found)
-            counts.append(np.diff(np.searchsorted(reached, ends), prepend=0))
-        counts += [np.fromiter(map(len, alone), np.int64, len(alone)), np.zeros(int(odd.sum()), np.int64)]
-        place = len(self.word_ids.counts)
+            counts.append(np.diff(np.searchsorted(reached, edges[a + 1 : b + 1] - edges[a]), prepend=0))
+        counts += [np.fromiter(map(len, alone), np.int64, len(alone)), np.zeros(len(order) - regular, np.int64)]
+        place = self.word_ids.counts.n
         self.word_ids.add(np.concatenate([*ids, *alone, np.empty(0, np.uint32)]), np.concatenate(counts), odd[order])
-        self.word_bytes = np.concatenate([self.word_bytes, np.frombuffer(b"".join(new[k] for k in order), np.uint8)])
-        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(size)])
+        self.word_ends.add(self.word_bytes.n + edges[1:])
+        self.word_bytes.add(own)
         self.words.add(hashes[order], place)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,14 +198,14 @@ class Encoder:
         missed = np.flatnonzero(at < 0)
         if len(missed):
             new, where = np.unique(hashes[missed], return_index=True)
-            where, raw = missed[where], data.tobytes()
-            self._learn_words([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], new)
+            where = missed[where]
+            self._learn_words(data, starts[where], ends[where], new)
             at[missed] = self.words.find(hashes[missed])
         ids, counts = self.word_ids.take(at)
         before = np.searchsorted(starts, offsets)
         edges = np.concatenate([[0], np.cumsum(counts)])[before]
         sizes = np.diff(edges)
-        bad = self.word_ids.odd[at] | self._differs(data, starts, ends, at)
+        bad = self.word_ids.odd.all[at] | self._differs(data, starts, ends, at)
         odd = np.unique(np.searchsorted(before, np.flatnonzero(bad), "right") - 1)
         if len(odd):
             lists = [ids[edges[k] : edges[k + 1]] for k in range(len(texts))]
@@ -176,10 +216,10 @@ class Encoder:
 
     def _differs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether a word is another than the one found for its hash; the words have all of ``data``."""
-        size, known = ends - starts, self.word_ends[at + 1] - self.word_ends[at]
-        out = size != known
+        begins, size = self.word_ends.all[at], ends - starts
+        out = size != self.word_ends.all[at + 1] - begins
         if not out.any():
-            there = self.word_bytes[np.arange(len(data)) + np.repeat(self.word_ends[at] - starts, size)]
+            there = self.word_bytes.all[_slices(begins, size)]
             if not np.array_equal(there, data):
                 out |= np.add.reduceat(there != data, starts) > 0
         return out

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blockprism.llm import id_files, packing
@@ -46,9 +48,40 @@ def test_forgetting_changes_nothing(encoder, monkeypatch):
         assert split(*encoder.encode([text])) == [plain(encoder, text)]
 
 
+def traced(run):
+    """Bytes that a call held at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_learning_costs_what_is_new_not_what_is_known():
+    own = Encoder(tokenizer_path())
+    own.encode([" ".join(f"w{k:x}" for k in range(100_000))])
+    own.encode(["makes room for more"])
+    assert traced(lambda: own.encode(["not one of these"])) < 1 << 20
+
+
+def test_characters_at_the_edges_of_what_is_regular(encoder):
+    texts = [f"a {x}b c{x} {x} d{x}{x}e\t{x}f" for x in "!~\x7f\x80\xa0\xa1\xbf\xc0\u0100\u0240\u024f\u0250\u027f\u0800\t\0"]
+    assert split(*encoder.encode(texts)) == [plain(encoder, t) for t in texts]
+
+
 # Packing
 
 
+def test_cutting_holds_little_of_a_batch():
+    texts = [" ".join(f"w{(k * 31 + j * 7) % 5000}" for j in range(2000)) for k in range(200)]  # of 11 KB each
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    cut = packing._cut(tokenizer_path(), 2, 1024)
+    before = list(cut(iter([batch])))
+    assert traced(lambda: list(cut(iter([batch])))) < 16 << 20
+    assert sum(b.num_rows for b in before) >= len(texts)
+
+
 def test_packing_is_whole_valid_and_tight(spark, encoder):
     texts = [" ".join(f"word{k * j % 50}" for j in range(k * 37 % 900 + 1)) for k in range(120)] + [None, "", "x " * 3000]
     rows = [r.asDict() for r in packing.pack(docs(spark, texts), tokenizer_path(), capacity=256, small=(16, 64, 256)).collect()]
