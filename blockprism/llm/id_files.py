@@ -48,15 +48,18 @@ _LOW, _LEAST = (1 << 48) - 1, 1 << 32
 
 
 class _Mixer:
-    """The predictions and shares of many blocks at the same place of each."""
+    """The predictions and shares of many blocks at the same place of each.
+
+    All of it is of 32 bits: half as much to move, and what a hash loses above is not used.
+    """
 
     def __init__(self, blocks: int):
-        row = np.arange(blocks)
+        row = np.arange(blocks, dtype=np.int32)
         self.table_row, self.share_row = row << _SLOTS, row << 4
         self.tables = [np.zeros(blocks << _SLOTS, np.int32) for _ in range(2)]  # id and confidence
         start = 1 << (_MIX - 3)
-        self.shares = np.full(blocks << 4, start << _MIX | start, np.int64)  # of order 2 and, of the rest, of order 1
-        self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+        self.shares = np.full(blocks << 4, start << _MIX | start, np.int32)  # of order 2 and, of the rest, of order 1
+        self.last, self.before = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first ``n`` blocks: predicted ids of order 2 and 1, and where their shares end.
@@ -64,29 +67,29 @@ class _Mixer:
         Where both predict the same id, the share of order 2 is that of both together.
         """
         last, mask = self.last[:n], (1 << _SLOTS) - 1
-        self.at = (self.table_row[:n] + ((last * 0x9E35 + self.before[:n]) >> 7 & mask), self.table_row[:n] + ((last ^ last >> _SLOTS) & mask))
+        self.at = tuple((self.table_row[:n] + (x & mask)).astype(np.intp) for x in ((last * 0x9E35 + self.before[:n]) >> 7, last ^ last >> _SLOTS))
         self.seen = (self.tables[0].take(self.at[0]), self.tables[1].take(self.at[1]))
         self.trust = (self.seen[0] & 3, self.seen[1] & 3)
-        self.sure = self.share_row[:n] + ((self.trust[0] << 2) + self.trust[1])
+        self.sure = (self.share_row[:n] + ((self.trust[0] << 2) + self.trust[1])).astype(np.intp)
         share = self.shares.take(self.sure)
         self.two, self.one = share >> _MIX, share & ((1 << _MIX) - 1)
         p2, p1 = self.seen[0] >> 2, self.seen[1] >> 2
         rest = ((1 << _MIX) - self.two) * self.one >> _MIX
-        return p2, p1, self.two + (rest & _mask(p2 == p1)), self.two + rest
+        return p2, p1, (self.two + (rest & _mask(p2 == p1, np.int32))).astype(np.int64), (self.two + rest).astype(np.int64)
 
     def update(self, ids: np.ndarray, two_right: np.ndarray, one_right: np.ndarray) -> None:
         """Whether orders 2 and 1 were right; order 1's share is among what order 2 misses."""
         n = len(ids)
-        was_two = _mask(two_right)
+        was_two = _mask(two_right, np.int32)
         two = self.two + (_LEAST_SHARE + (was_two & (_MOST[0] - _LEAST_SHARE)) - self.two >> 5)
-        moved = _LEAST_SHARE + (_mask(one_right) & (_MOST[1] - _LEAST_SHARE)) - self.one >> 5
+        moved = _LEAST_SHARE + (_mask(one_right, np.int32) & (_MOST[1] - _LEAST_SHARE)) - self.one >> 5
         self.shares[self.sure] = (two << _MIX) + self.one + (moved & ~was_two)
         fresh = ids << 2
         for k, right in enumerate((two_right, one_right)):
             seen, trust = self.seen[k], self.trust[k]
-            step = (right & (trust < 3)).view(np.int8) - (~right).view(np.int8)
-            new = _mask(~right & (trust == 0), np.int32)
-            self.tables[k][self.at[k]] = (seen + step & ~new) | (fresh & new)
+            wrong = ~right
+            step = (right & (trust < 3)).view(np.int8) - wrong.view(np.int8)
+            self.tables[k][self.at[k]] = np.where(wrong & (trust == 0), fresh, seen + step)
         np.multiply(self.last[:n], 0x2F0B5, out=self.before[:n])  # as the hash of two needs it
         self.last[:n] = ids
 
@@ -112,7 +115,7 @@ def _part(low: np.ndarray, unit: np.ndarray, part: np.ndarray, m0: np.ndarray) -
 
 def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """After a word is put out where one is due: a size below ``_LEAST`` that straddles a boundary is cut there."""
-    at = np.flatnonzero(due & ((low ^ (low + size)) >= _LEAST))
+    at = (due & ((low ^ (low + size)) >= _LEAST)).nonzero()[0]
     size[at] = -low[at] & (_LEAST - 1)
     by = due.astype(np.int64) << 4
     return low << by & _LOW, size << by
@@ -161,7 +164,7 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
         due = np.less(sz, _LEAST, out=put[t, :n])
         words[t, :n] = lo >> 32  # counts only if it was due
         lo, sz = _shifted(lo, sz, due)
-        at = np.flatnonzero(sz < _LEAST)
+        at = (sz < _LEAST).nonzero()[0]
         while len(at):  # a few blocks have another word due
             more.append((at, t, (lo[at] >> 32).astype(np.uint16)))
             lo[at], sz[at] = _shifted(lo[at], sz[at], np.ones(len(at), bool))
@@ -220,7 +223,7 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         code[:n] = (code[:n] << (by << 4) & _LOW) | (source.take(read[:n]) & -by)
         read[:n] += by
         lo, sz = _shifted(lo, sz, due)
-        at = np.flatnonzero(sz < _LEAST)
+        at = (sz < _LEAST).nonzero()[0]
         while len(at):
             code[at] = (code[at] << 16 & _LOW) | source[read[at]]
             read[at] += 1

@@ -178,6 +178,19 @@ def test_coder_predicts(encoder):
     assert len(id_files.pack_segment([1], np.array([len(ids)]), ids, 4096)) < 0.3 * len(ids)
 
 
+def test_a_segment_is_written_as_ever():
+    ids = (np.arange(40_000) ** 2 * 31 % 977 * 204).astype(np.uint32)  # up to 199,104
+    assert zlib.crc32(id_files.pack_segment([1], np.array([len(ids)]), ids, 300)) == 4207340148
+
+
+def test_what_blocks_have_learned_is_small():
+    mixer = id_files._Mixer(64)
+    held = [x for v in vars(mixer).values() for x in (v if isinstance(v, list) else [v])]
+    assert sum(x.nbytes for x in held) <= 64 * 4 * (2 * (1 << id_files._SLOTS) + 16 + 4)  # tables, shares, ids and rows
+    mixer.predict(64)
+    assert {x.itemsize for x in (mixer.two, mixer.one, *mixer.seen, *mixer.trust)} == {4}
+
+
 def test_damage_is_noticed():
     ids = np.arange(1000, dtype=np.uint32) % 300
     data = bytearray(id_files.pack_segment([1], np.array([1000]), ids, 256))
