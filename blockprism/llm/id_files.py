@@ -135,6 +135,11 @@ def _lengths(total: int, block: int) -> np.ndarray:
     return np.array([block] * full + [rest] * (rest > 0), np.int64)
 
 
+def _steps(steps: int, blocks: int, kind: type) -> np.ndarray:
+    """Zeros, a row for each step; a cache line lies between rows, or else a block's column would be a power of two apart."""
+    return np.zeros((steps, blocks + 64 // np.dtype(kind).itemsize), kind)[:, :blocks]
+
+
 def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each block, blocks' checksums, and the order-0 ids and counts."""
     lengths = _lengths(len(ids), block)
@@ -145,11 +150,11 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
     counts = counts[known]
     share, begins = _order_zero(counts)
     zero[known] = begins << 20 | share
-    grid = np.zeros(k * block, np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(k, block).T)
+    rows, grid = np.zeros(k * block, np.int32), _steps(block, k, np.int32)
+    rows[: len(ids)] = ids
+    grid[:] = rows.reshape(k, block).T
     low, size = np.zeros(k, np.int64), np.full(k, _LOW, np.int64)
-    words, put = np.zeros((block + 3, k), np.uint16), np.zeros((block + 3, k), bool)  # at most one word a step
+    words, put = _steps(block + 3, k, np.uint16), _steps(block + 3, k, bool)  # at most one word a step
     more: list[tuple[np.ndarray, int, np.ndarray]] = []  # blocks that put out another in a step, and what
     mixer = _Mixer(k)
     for t in range(block):
@@ -202,7 +207,7 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
     source, read = source.reshape(-1), np.arange(k) * width + 3
     code = source[read - 3].astype(np.int64) << 32 | source[read - 2].astype(np.int64) << 16 | source[read - 1]
     low, size = np.zeros(k, np.int64), np.full(k, _LOW, np.int64)
-    out = np.zeros((block, k), np.int32)
+    out = _steps(block, k, np.int32)
     mixer = _Mixer(k)
     for t in range(block):
         n = k if t < lengths[-1] else k - 1
@@ -232,7 +237,7 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         low[:n], size[:n] = lo, sz
         out[t, :n] = x
         mixer.update(x, x == p2, x == p1)
-    return out.T
+    return np.ascontiguousarray(out.T)
 
 
 def pack_segment(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, block: int) -> bytes:

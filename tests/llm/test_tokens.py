@@ -191,6 +191,13 @@ def test_what_blocks_have_learned_is_small():
     assert {x.itemsize for x in (mixer.two, mixer.one, *mixer.seen, *mixer.trust)} == {4}
 
 
+@pytest.mark.parametrize("kind", [bool, np.uint16, np.int32])
+def test_steps_do_not_share_places_of_the_cache(kind):
+    rows = id_files._steps(8, 4096, kind)
+    assert rows.shape == (8, 4096) and rows[0].flags.c_contiguous and not rows.any()
+    assert rows.strides[0] % 4096 == 64
+
+
 def test_damage_is_noticed():
     ids = np.arange(1000, dtype=np.uint32) % 300
     data = bytearray(id_files.pack_segment([1], np.array([1000]), ids, 256))
