@@ -61,35 +61,36 @@ class _Mixer:
         self.shares = np.full(blocks << 4, start << _MIX | start, np.int32)  # of order 2 and, of the rest, of order 1
         self.last, self.before = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
 
-    def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first ``n`` blocks: predicted ids of order 2 and 1, and where their shares end.
-
-        Where both predict the same id, the share of order 2 is that of both together.
-        """
-        last, mask = self.last[:n], (1 << _SLOTS) - 1
-        self.at = tuple((self.table_row[:n] + (x & mask)).astype(np.intp) for x in ((last * 0x9E35 + self.before[:n]) >> 7, last ^ last >> _SLOTS))
-        self.seen = (self.tables[0].take(self.at[0]), self.tables[1].take(self.at[1]))
-        self.trust = (self.seen[0] & 3, self.seen[1] & 3)
-        self.sure = (self.share_row[:n] + ((self.trust[0] << 2) + self.trust[1])).astype(np.intp)
-        share = self.shares.take(self.sure)
+    def predict(self, n: int) -> np.ndarray:
+        """For the first ``n`` blocks: predicted ids of order 2 and 1, a row each; ``two`` and ``rest`` are their shares."""
+        last = self.last[:n]
+        places = np.empty((2, n), np.int32)
+        np.right_shift(last * 0x9E35 + self.before[:n], 7, out=places[0])
+        np.bitwise_xor(last, last >> _SLOTS, out=places[1])
+        places &= (1 << _SLOTS) - 1
+        places += self.table_row[:n]
+        self.at, self.seen = places.astype(np.intp), places
+        for table, at, seen in zip(self.tables, self.at, self.seen, strict=True):
+            table.take(at, out=seen, mode="clip")  # no place is beyond: without a copy
+        self.trust = self.seen & 3
+        self.sure = ((self.trust[0] << 2) + self.trust[1] + self.share_row[:n]).astype(np.intp)
+        share = self.shares.take(self.sure, mode="clip")
         self.two, self.one = share >> _MIX, share & ((1 << _MIX) - 1)
-        p2, p1 = self.seen[0] >> 2, self.seen[1] >> 2
-        rest = ((1 << _MIX) - self.two) * self.one >> _MIX
-        return p2, p1, (self.two + (rest & _mask(p2 == p1, np.int32))).astype(np.int64), (self.two + rest).astype(np.int64)
-
-    def update(self, ids: np.ndarray, two_right: np.ndarray, one_right: np.ndarray) -> None:
-        """Whether orders 2 and 1 were right; order 1's share is among what order 2 misses."""
-        n = len(ids)
-        was_two = _mask(two_right, np.int32)
-        two = self.two + (_LEAST_SHARE + (was_two & (_MOST[0] - _LEAST_SHARE)) - self.two >> 5)
-        moved = _LEAST_SHARE + (_mask(one_right, np.int32) & (_MOST[1] - _LEAST_SHARE)) - self.one >> 5
-        self.shares[self.sure] = (two << _MIX) + self.one + (moved & ~was_two)
-        fresh = ids << 2
-        for k, right in enumerate((two_right, one_right)):
-            seen, trust = self.seen[k], self.trust[k]
-            wrong = ~right
-            step = (right & (trust < 3)).view(np.int8) - wrong.view(np.int8)
-            self.tables[k][self.at[k]] = np.where(wrong & (trust == 0), fresh, seen + step)
+        self.rest = ((1 << _MIX) - self.two) * self.one >> _MIX
+        return self.seen >> 2
+
+    def update(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """``right``: all bits where order 2 was right, and where order 1 was; order 1's share is among what order 2 misses."""
+        n, wrong = len(ids), ~right
+        two = self.two + (_LEAST_SHARE + (right[0] & (_MOST[0] - _LEAST_SHARE)) - self.two >> 5)
+        moved = _LEAST_SHARE + (right[1] & (_MOST[1] - _LEAST_SHARE)) - self.one >> 5
+        self.shares[self.sure] = (two << _MIX) + self.one + (moved & wrong[0])
+        unsure = (self.trust | right) == 0
+        fresh = np.minimum(self.seen - right, self.seen | 3)  # confidence up to 3
+        fresh += wrong
+        np.copyto(fresh, ids << 2, where=unsure)
+        for table, at, new in zip(self.tables, self.at, fresh, strict=True):
+            table[at] = new
         np.multiply(self.last[:n], 0x2F0B5, out=self.before[:n])  # as the hash of two needs it
         self.last[:n] = ids
 
@@ -99,28 +100,27 @@ def _mask(true: np.ndarray, kind: type = np.int64) -> np.ndarray:
     return -true.astype(kind)
 
 
-def _narrow(low: np.ndarray, whole: np.ndarray, to_two: np.ndarray, to_one: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The interval of the order that was right, and the mask of order 0, from where the orders' shares end."""
-    m2, m1 = _mask(is_two), _mask(is_one)
-    m0 = ~(m2 | m1)
-    begin = (to_two & m1) | (to_one & m0)
-    return low + begin, ((to_two & m2) | (to_one & m1) | (whole & m0)) - begin, m0
-
-
-def _part(low: np.ndarray, unit: np.ndarray, part: np.ndarray, m0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The part of order 0 that an id has, of all where another order was right."""
-    part = (part & m0) | (~m0 & (1 << _ZERO))
+def _part(low: np.ndarray, unit: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of order 0 that an id has; where another order was right, ``part`` is 0 and all is taken."""
+    part = part ^ (1 << _ZERO)
     return low + unit * (part >> 20 & 0xFFFFF), unit * (part & 0xFFFFF)
 
 
-def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """After a word is put out where one is due: a size below ``_LEAST`` that straddles a boundary is cut there."""
+def _shifted(low: np.ndarray, size: np.ndarray, due: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """After a word of 16 bits is put out where one is due: a size below ``_LEAST`` that straddles a boundary is cut there."""
     at = (due & ((low ^ (low + size)) >= _LEAST)).nonzero()[0]
     size[at] = -low[at] & (_LEAST - 1)
-    by = due.astype(np.int64) << 4
     return low << by & _LOW, size << by
 
 
+def _shift_more(low: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same at a few places, where one is due at all; gives those where another is."""
+    lo, sz = low[at], size[at]
+    sz = np.where((lo ^ (lo + sz)) >= _LEAST, -lo & (_LEAST - 1), sz) << 16
+    low[at], size[at] = lo << 16 & _LOW, sz
+    return at[sz < _LEAST]
+
+
 def _order_zero(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of 2^18, none zero, of ids with these counts, and where each begins."""
     spare = (1 << _ZERO) - len(counts)
@@ -149,7 +149,7 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
     zero = np.zeros(len(counts), np.int64)  # of each id, where its part of order 0 begins, and its share
     counts = counts[known]
     share, begins = _order_zero(counts)
-    zero[known] = begins << 20 | share
+    zero[known] = (begins << 20 | share) ^ 1 << _ZERO
     rows, grid = np.zeros(k * block, np.int32), _steps(block, k, np.int32)
     rows[: len(ids)] = ids
     grid[:] = rows.reshape(k, block).T
@@ -162,20 +162,23 @@ def encode(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], np.ndarray, n
         if n == 0:
             break
         x = grid[t, :n]
-        p2, p1, two, one = mixer.predict(n)
-        unit, two_right, one_right = size[:n] >> _MIX, x == p2, x == p1
-        lo, sz, m0 = _narrow(low[:n], unit << _MIX, unit * two, unit * one, two_right, one_right & ~two_right)
-        lo, sz = _part(lo, sz >> _ZERO, zero.take(x), m0)
+        right = _mask(mixer.predict(n) == x, np.int32)
+        r2, r1 = right
+        rest, ends, none = mixer.rest & r1, mixer.two + mixer.rest, ~(r2 | r1)
+        span = np.empty((2, n), np.int64)  # where the interval begins, and its size, in units
+        np.bitwise_and(ends - rest, ~r2, out=span[0])
+        np.add((mixer.two & r2) + rest, ((1 << _MIX) - ends) & none, out=span[1])
+        span *= size[:n] >> _MIX
+        lo, sz = _part(low[:n] + span[0], span[1] >> _ZERO, zero.take(x, mode="clip") & none)
         due = np.less(sz, _LEAST, out=put[t, :n])
         words[t, :n] = lo >> 32  # counts only if it was due
-        lo, sz = _shifted(lo, sz, due)
+        lo, sz = _shifted(lo, sz, due, due.astype(np.int64) << 4)
         at = (sz < _LEAST).nonzero()[0]
         while len(at):  # a few blocks have another word due
             more.append((at, t, (lo[at] >> 32).astype(np.uint16)))
-            lo[at], sz[at] = _shifted(lo[at], sz[at], np.ones(len(at), bool))
-            at = at[sz[at] < _LEAST]
+            at = _shift_more(lo, sz, at)
         low[:n], size[:n] = lo, sz
-        mixer.update(x, two_right, one_right)
+        mixer.update(x, right)
     words[block:], put[block:] = [low >> shift & 0xFFFF for shift in (32, 16, 0)], True  # what tells the last interval
     out, used = _by_block(words, put, more)
     sums = np.array([zlib.crc32(part.astype("<u4").tobytes()) for part in np.split(ids, np.cumsum(lengths)[:-1])], np.uint32)
@@ -199,7 +202,7 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
     """Ids of blocks, of which only the last may be shorter than ``block``: a row per block."""
     k = len(words)
     share, begins = _order_zero(counts)
-    of_slot = np.repeat(known << 40 | begins << 20 | share, share)  # id, where its part begins, and its share
+    of_slot = np.repeat((known << 40 | begins << 20 | share) ^ 1 << _ZERO, share)  # id, where its part begins, and its share
     width = max(map(len, words)) + 4
     source = np.zeros((k, width), np.uint16)
     for j, w in enumerate(words):
@@ -213,30 +216,40 @@ def decode(words: list[np.ndarray], lengths: np.ndarray, block: int, known: np.n
         n = k if t < lengths[-1] else k - 1
         if n == 0:
             break
-        p2, p1, two, one = mixer.predict(n)
+        p = mixer.predict(n)
+        p2, p1 = p
+        ends = np.empty((2, n), np.int64)  # where the shares of order 2 and 1 end; of equal predictions order 2 has both
+        np.add(mixer.two, mixer.rest & _mask(p2 == p1, np.int32), out=ends[0])
+        np.add(mixer.two, mixer.rest, out=ends[1])
         unit, off = size[:n] >> _MIX, code[:n] - low[:n]
-        to_two, to_one = unit * two, unit * one
-        is_two = off < to_two
-        is_one = (off < to_one) & ~is_two
-        lo, sz, m0 = _narrow(low[:n], unit << _MIX, to_two, to_one, is_two, is_one)
-        unit = sz >> _ZERO
-        part = of_slot.take(((code[:n] - lo) / unit).astype(np.int64), mode="clip")  # of at most 48 and 32 bits: the quotient's whole part is exact
-        x = np.where(is_two, p2, np.where(is_one, p1, (part >> 40).astype(np.int32)))
-        lo, sz = _part(lo, unit, part, m0)
+        ends *= unit
+        to_two, to_one = ends
+        chosen = _mask(off < ends, np.int32)  # order 1's end is not before order 2's
+        m2, m1 = chosen.astype(np.int64)
+        gap, whole = to_one - to_two, unit << _MIX
+        begin = (to_two & ~m2) + (gap & ~m1)
+        sz = whole - ((whole - to_one) & m1) - (gap & m2) - begin
+        unit, m0 = sz >> _ZERO, ~m1
+        part = of_slot.take(((off - begin) / unit).astype(np.int64), mode="clip") & m0  # of at most 48 and 32 bits: the quotient's whole part is exact
+        chosen[1] ^= chosen[0]
+        chosen &= p
+        x = (part >> 40).astype(np.int32) | chosen[0] | chosen[1]
+        lo, sz = _part(low[:n] + begin, unit, part)
         due = sz < _LEAST
         by = due.astype(np.int64)
-        code[:n] = (code[:n] << (by << 4) & _LOW) | (source.take(read[:n]) & -by)
+        word = source.take(read[:n], mode="clip") & -by
         read[:n] += by
-        lo, sz = _shifted(lo, sz, due)
+        by <<= 4
+        code[:n] = (code[:n] << by & _LOW) | word
+        lo, sz = _shifted(lo, sz, due, by)
         at = (sz < _LEAST).nonzero()[0]
         while len(at):
             code[at] = (code[at] << 16 & _LOW) | source[read[at]]
             read[at] += 1
-            lo[at], sz[at] = _shifted(lo[at], sz[at], np.ones(len(at), bool))
-            at = at[sz[at] < _LEAST]
+            at = _shift_more(lo, sz, at)
         low[:n], size[:n] = lo, sz
         out[t, :n] = x
-        mixer.update(x, x == p2, x == p1)
+        mixer.update(x, _mask(p == x, np.int32))
     return np.ascontiguousarray(out.T)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -25,6 +26,13 @@ class _Table:
         self.mask, self.used = np.int64((1 << bits) - 1), 0
         self.keys, self.places = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
+    def hashes(self) -> np.ndarray:
+        """In the order of their places, which are those from 0 on."""
+        there = np.flatnonzero(self.places >= 0)
+        out = np.empty(len(there), np.uint64)
+        out[self.places[there]] = self.keys[there]
+        return out
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """-1 for those that are not there."""
         at = hashes.view(np.int64) & self.mask
@@ -111,9 +119,24 @@ _regular = re.compile("[ \n]?[!-~\xa1-\u024f](?:[!-~\xa1-\u024f\t]*[!-~\xa1-\u02
 
 #: Bytes of characters that are regular everywhere in a word; of two bytes, those that begin by C2 and C9 are so in part.
 _PLAIN = np.array([33 <= c < 127 or 0x80 <= c < 0xC0 or 0xC2 <= c < 0xCA for c in range(256)], bool)
+#: Bytes of words of letters alone; of those of two bytes, the signs of multiplication and division are none.
+_LETTERS = np.array([c < 128 and chr(c).isalpha() or 0x80 <= c < 0xC0 or 0xC3 <= c < 0xC9 for c in range(256)], bool)
 _LETTER, _PUNCTUATION = (np.array([c < 128 and test(chr(c)) for c in range(256)], bool) for test in (str.isalpha, lambda c: c in string.punctuation))
 
 
+def _characters() -> np.ndarray:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u2")
+    out[shown] = shown
+    hidden = np.flatnonzero(out == 0)
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
+
+
+_CHARACTERS = _characters()
+
+
 def encoder(path: str) -> Encoder:
     """One for all tasks of a worker, as what it has learned serves them all; it is held under its path."""
     return held(path, lambda: Encoder(path))
@@ -126,7 +149,10 @@ class Encoder:
     for itself; no part goes beyond a space or a newline between two characters that
     are no white space, nor from a letter to punctuation.  So words, which begin with
     each space, newline and punctuation behind a letter, are looked up where they are
-    known, and only new words reach the tokenizer, many as one text.
+    known, and only new words reach the tokenizer, many as one text.  New words of
+    letters alone are parts already (a newline before them is one of its own): they go
+    to the tokenizer's model as such, past its expression.
+    When there are too many words, those stay that were met again since they came.
     Words are found by hashes and compared byte by byte.  A text with uncommon
     characters or with more white space in a row is encoded as one.
     """
@@ -141,11 +167,34 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character stands for one
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self._forget_words()
-
-    def _forget_words(self) -> None:
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        splitter = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        whole = bool(splitter) and usual.items() <= splitter.items() and self.tokenizer.normalizer is None
+        #: What takes parts, if the expression is the usual one and no other token is looked for in texts.
+        self.model = self.tokenizer.model if whole and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()) else None
+        self._no_words()
+
+    def _no_words(self) -> None:
         self.words, self.word_ids = _Table(), _Lists()
         self.word_bytes, self.word_ends = _Growing(np.uint8), _Growing(np.int64, (0,))
+        self.again = _Growing(bool)  # whether a word was met after it had been learned
+
+    def _forget_words(self) -> None:
+        """All but those that were met again, if these are half of what is kept at most."""
+        keep = np.flatnonzero(self.again.all)
+        hashes, odd, ends = self.words.hashes()[keep], self.word_ids.odd.all[keep], self.word_ends.all
+        (ids, counts), size = self.word_ids.take(keep), ends[keep + 1] - ends[keep]
+        own = self.word_bytes.all[_slices(ends[keep], size)]
+        self._no_words()
+        if 2 * len(keep) <= _WORDS:
+            self._add_words(hashes, ids, counts, odd, own, np.cumsum(size))
+
+    def _add_words(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray, odd: np.ndarray, own: np.ndarray, ends: np.ndarray) -> None:
+        self.words.add(hashes, self.word_ids.counts.n)
+        self.word_ids.add(ids, counts, odd)
+        self.word_ends.add(self.word_bytes.n + ends)
+        self.word_bytes.add(own)
+        self.again.add(np.zeros(len(hashes), bool))
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -161,26 +210,41 @@ class Encoder:
         odd = np.logical_or.reduceat(uncommon, heads)
         for k in np.flatnonzero(odd).tolist():  # with a tab, or odd
             odd[k] = not _regular(data[starts[k] : ends[k]].tobytes().decode())
-        order = np.argsort(np.where(odd, 2, first), kind="stable")
+        letters = self._letters(own, heads) & ~odd
+        order = np.argsort(np.where(odd, 3, np.where(letters, 0, 1 + first)), kind="stable")
         size = size[order]
         edges = np.concatenate([[0], np.cumsum(size)])
         own = data[_slices(starts[order], size)]
         raw = own.tobytes()
-        inside, regular = int((~odd & ~first).sum()), int((~odd).sum())
-        cuts = [*range(0, inside, _JOINED), inside]
-        joined = [raw[edges[a] : edges[b]].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts, regular = int(letters.sum()), int((~odd).sum())
+        inside = parts + int((~odd & ~letters & ~first).sum())
+        joined = [self._of_parts(own, edges[: parts + 1])]
+        cuts = [*range(parts, inside, _JOINED), inside]
+        cuts = list(zip(cuts, cuts[1:], strict=False))
+        joined += self._plain([raw[edges[a] : edges[b]].decode() for a, b in cuts])
         alone = self._plain([raw[edges[k] : edges[k + 1]].decode() for k in range(inside, regular)])
-        ids, counts = [], []
-        for a, b, found in zip(cuts, cuts[1:], self._plain(joined), strict=False):
+        counts = []
+        for (a, b), found in zip([(0, parts), *cuts], joined, strict=True):
             reached = np.concatenate([[0], np.cumsum(self.width[found])])
-            ids.append(found)
             counts.append(np.diff(np.searchsorted(reached, edges[a + 1 : b + 1] - edges[a]), prepend=0))
         counts += [np.fromiter(map(len, alone), np.int64, len(alone)), np.zeros(len(order) - regular, np.int64)]
-        place = self.word_ids.counts.n
-        self.word_ids.add(np.concatenate([*ids, *alone, np.empty(0, np.uint32)]), np.concatenate(counts), odd[order])
-        self.word_ends.add(self.word_bytes.n + edges[1:])
-        self.word_bytes.add(own)
-        self.words.add(hashes[order], place)
+        self._add_words(hashes[order], np.concatenate([*joined, *alone, np.empty(0, np.uint32)]), np.concatenate(counts), odd[order], own, edges[1:])
+
+    def _letters(self, own: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Whether words that begin at ``heads`` are letters, behind a space or a newline at most."""
+        if self.model is None:
+            return np.zeros(len(heads), bool)
+        other = ~_LETTERS[own]
+        other[:-1] |= (own[:-1] == 0xC3) & ((own[1:] == 0x97) | (own[1:] == 0xB7))
+        other[heads] &= (own[heads] != 32) & (own[heads] != 10)
+        return ~np.logical_or.reduceat(other, heads)
+
+    def _of_parts(self, own: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Ids of words of letters alone between these edges, one behind another."""
+        newlines = edges[:-1][(own[edges[:-1]] == 10) & (np.diff(edges) > 1)] + 1
+        at = np.sort(np.concatenate([edges, newlines])).tolist()
+        text = _CHARACTERS[own[: at[-1]]].tobytes().decode("utf-16-le")
+        return np.fromiter((token.id for a, b in zip(at, at[1:], strict=False) for token in self.model.tokenize(text[a:b])), np.uint32)
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text's behind another's, and how many each text has; a null is empty."""
@@ -196,6 +260,7 @@ class Encoder:
         hashes = Rolling(BYTE[data], 0).of(starts, ends)
         at = self.words.find(hashes)
         missed = np.flatnonzero(at < 0)
+        self.again.all[at[at >= 0]] = True
         if len(missed):
             new, where = np.unique(hashes[missed], return_index=True)
             where = missed[where]

@@ -65,6 +65,45 @@ def test_learning_costs_what_is_new_not_what_is_known():
     assert traced(lambda: own.encode(["not one of these"])) < 1 << 20
 
 
+def watched(monkeypatch, own, name):
+    """The arguments of all calls of a method from now on."""
+    calls, run = [], getattr(own, name)
+    monkeypatch.setattr(own, name, lambda *x: calls.append(x) or run(*x))
+    return calls
+
+
+def test_words_of_letters_go_past_the_expression(monkeypatch):
+    own = Encoder(tokenizer_path())
+    calls = watched(monkeypatch, own, "_plain")
+    texts = ["Erst\nzweitens dritt\xe8rement \u010desky \u01c5ep \u023fa", "\nAnfang ohneende", "viertens"]
+    assert split(*own.encode(texts)) == [plain(own, t) for t in texts]
+    assert not [x for (given,) in calls for x in given]
+
+
+def test_signs_among_letters_are_parts_of_their_own():
+    own = Encoder(tokenizer_path())
+    texts = [f"a {x}b c{x} {x} d{x}{x}e\n{x}f\n{x} g{x}h" for x in "\xd7\xf7\xaa\xb5\xba\xc0\xff\u01c0\u023f\u0240\u024f\u02b0'7"] + ["it's ws'd 're\n's", "\n", "\nb"]
+    for _ in range(2):
+        assert split(*own.encode(texts)) == [plain(own, t) for t in texts]
+
+
+def test_words_met_again_outlast_forgetting(monkeypatch):
+    import blockprism.llm.token_ids as module
+
+    monkeypatch.setattr(module, "_WORDS", 50)
+    own = Encoder(tokenizer_path())
+    often = " ".join(f"often{k:x}" for k in range(16))
+    for _ in range(2):
+        own.encode([often])
+    own.encode([" ".join(f"once{k:x}" for k in range(60))])
+    calls = watched(monkeypatch, own, "_learn_words")
+    assert split(*own.encode([often, "another"])) == [plain(own, often), plain(own, "another")]
+    assert own.words.used < 50 and [len(x[1]) for x in calls] == [1]
+    own.encode([" ".join(f"new{k:x}" for k in range(60))])
+    own.encode([""])
+    assert own.words.used == 16  # what was met again since then
+
+
 def test_characters_at_the_edges_of_what_is_regular(encoder):
     texts = [f"a {x}b c{x} {x} d{x}{x}e\t{x}f" for x in "!~\x7f\x80\xa0\xa1\xbf\xc0\u0100\u0240\u024f\u0250\u027f\u0800\t\0"]
     assert split(*encoder.encode(texts)) == [plain(encoder, t) for t in texts]
