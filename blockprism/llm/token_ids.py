@@ -181,13 +181,13 @@ class Encoder:
 
     def _forget_words(self) -> None:
         """All but those that were met again, if these are half of what is kept at most."""
-        keep = np.flatnonzero(self.again.all)
-        hashes, odd, ends = self.words.hashes()[keep], self.word_ids.odd.all[keep], self.word_ends.all
-        (ids, counts), size = self.word_ids.take(keep), ends[keep + 1] - ends[keep]
-        own = self.word_bytes.all[_slices(ends[keep], size)]
+        keep, lists = self.again.all, self.word_ids
+        size, counts = np.diff(self.word_ends.all), lists.counts.all
+        kept = self.words.hashes()[keep], lists.ids.all[np.repeat(keep, counts)], counts[keep], lists.odd.all[keep], self.word_bytes.all[np.repeat(keep, size)], np.cumsum(size[keep])
+        del keep, lists, size, counts  # what is old goes before there is anything new
         self._no_words()
-        if 2 * len(keep) <= _WORDS:
-            self._add_words(hashes, ids, counts, odd, own, np.cumsum(size))
+        if 2 * len(kept[0]) <= _WORDS:
+            self._add_words(*kept)
 
     def _add_words(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray, odd: np.ndarray, own: np.ndarray, ends: np.ndarray) -> None:
         self.words.add(hashes, self.word_ids.counts.n)

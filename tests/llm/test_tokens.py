@@ -104,6 +104,15 @@ def test_words_met_again_outlast_forgetting(monkeypatch):
     assert own.words.used == 16  # what was met again since then
 
 
+def test_forgetting_holds_little():
+    own = Encoder(tokenizer_path())
+    text = " ".join(f"w{k:x}" for k in range(100_000))
+    for _ in range(2):
+        own.encode([text])
+    assert traced(own._forget_words) < 14 << 20
+    assert own.words.used == 100_000
+
+
 def test_characters_at_the_edges_of_what_is_regular(encoder):
     texts = [f"a {x}b c{x} {x} d{x}{x}e\t{x}f" for x in "!~\x7f\x80\xa0\xa1\xbf\xc0\u0100\u0240\u024f\u0250\u027f\u0800\t\0"]
     assert split(*encoder.encode(texts)) == [plain(encoder, t) for t in texts]
