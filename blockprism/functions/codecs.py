@@ -1,13 +1,16 @@
 """Codecs that Spark has no functions for: compression, checked units and fixed-layout records.
 
-They are pandas functions over batches; what built-ins can decode is in
-``scalars`` and in ``mapping_key`` and its like below.
+They are Arrow and pandas functions over batches; what built-ins can decode is
+in ``scalars`` and in ``mapping_key`` and its like below.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,8 @@ from blockprism.functions.scalars import big_endian, from_big_endian
 from blockprism.schemas import BLOCK
 
 _RAW, _LZ4, _ZSTD = 0, 1, 2
+#: Results go back in pieces of about so many bytes, so a worker holds no second batch of them.
+_PIECE_BYTES = 4 << 20
 
 
 def compress_block(data: bytes, code: int, level: int = 3) -> tuple[int, bytes]:
@@ -78,13 +83,43 @@ def decompress_block(data: bytes, code: int, size: int) -> bytes | None:
     return out if len(out) == size else None
 
 
+def _give_back() -> None:
+    """Memory that is free, which the allocators would keep, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_pieces(batches: Iterator[tuple[pa.Array, ...]], one: Callable[..., tuple], kind: pa.StructType) -> Iterator[pa.Array]:
+    """What ``one`` makes of each row, a value and bytes, in arrays that end where the bytes reach the size of a piece or the batch ends."""
+
+    def piece() -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*found, strict=True), kind, strict=True)], fields=list(kind))
+
+    for batch in batches:
+        _give_back()
+        found, size = [], 0
+        for row in zip(*batch, strict=True):
+            found.append(one(*(x.as_py() for x in row)))
+            size += len(found[-1][1] or b"")
+            if size >= _PIECE_BYTES:
+                yield piece()
+                found, size = [], 0
+        if found:
+            yield piece()
+        found = batch = row = None
+    _give_back()
+
+
 def compressed(payload: Column, code: Column, level: int = 3) -> Column:
     """``struct<code, data>`` of each payload."""
 
-    @F.pandas_udf("code tinyint, data binary")
-    def run(payloads: pd.Series, codes: pd.Series) -> pd.DataFrame:
-        found = [(None, None) if p is None else compress_block(bytes(p), int(c), level) for p, c in zip(payloads, codes, strict=True)]
-        return pd.DataFrame(found, columns=["code", "data"])
+    def one(data, algorithm):
+        return (None, None) if data is None else compress_block(data, int(algorithm), level)
+
+    @F.arrow_udf("code tinyint, data binary")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return in_pieces(batches, one, pa.struct([("code", pa.int8()), ("data", pa.binary())]))
 
     return run(payload.cast("binary"), code)
 
@@ -98,15 +133,15 @@ def decoded_unit(data: Column, slot_offset: Column, compressed_size: Column, ori
     def one(raw, at, size, original, algorithm, crc):
         if raw is None or at + size > len(raw):
             return "out_of_bounds", None
-        part = bytes(raw[at : at + size])
+        part = raw[at : at + size]
         if zlib.crc32(part) != crc:
             return "bad_crc", None
         out = decompress_block(part, int(algorithm), int(original))
         return ("bad_data", None) if out is None else ("ok", out)
 
-    @F.pandas_udf("status string, payload binary")
-    def run(*columns: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*row) for row in zip(*columns, strict=True)], columns=["status", "payload"])
+    @F.arrow_udf("status string, payload binary")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return in_pieces(batches, one, pa.struct([("status", pa.string()), ("payload", pa.binary())]))
 
     return run(data, slot_offset, compressed_size, original_size, code, crc32)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import random
+import re
+import uuid
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +95,39 @@ def test_decoded_unit_reports_what_is_wrong(spark):
     assert got == ["ok", "out_of_bounds", "bad_crc", "bad_data"]
 
 
+def test_units_of_any_size_keep_their_place(spark):
+    """Nulls, empty payloads and some beyond a piece, both ways in one projection."""
+    texts = [None, b"", b"ab" * 3_000_000, random.Random(2).randbytes(5 << 20), b"z", None, *(bytes([i]) * 300_000 for i in range(40)), b""]
+    rows = [(i, t and bytearray(t), i % 3) for i, t in enumerate(texts)]
+    rows[1], rows[-1] = (1, bytearray(), 1), (len(texts) - 1, bytearray(), 2)
+    df = spark.createDataFrame(rows, "i int, p binary, c int").coalesce(1)
+    units = df.select("i", "p", codecs.compressed(F.col("p"), F.col("c")).alias("u"), codecs.compressed(F.col("p"), F.lit(2)).alias("v"))
+    back = [codecs.decoded_unit(F.col(f"{x}.data"), F.lit(0), F.octet_length(f"{x}.data"), F.octet_length("p"), F.col(f"{x}.code"), F.crc32(f"{x}.data")) for x in "uv"]
+    found = units.select("i", "p", F.col("u.code").alias("code"), back[0].alias("a"), back[1].alias("b")).orderBy("i").collect()
+    assert [r["i"] for r in found] == list(range(len(texts)))
+    for r, t in zip(found, texts, strict=True):
+        assert (r["a"]["status"], r["b"]["status"]) == (("out_of_bounds",) * 2 if t is None else ("ok", "ok"))
+        assert r["a"]["payload"] == r["b"]["payload"] == r["p"] == t
+    assert [r["code"] for r in found[:6]] == [None, 0, 2, 0, 0, None]
+
+
+@pytest.mark.skipif(not Path("/proc/self/environ").exists(), reason="reads the workers' peaks from /proc")
+def test_workers_hold_few_copies_of_a_batch(spark, monkeypatch):
+    """96 MB there and back: no worker takes the room of three times as much (223 MB; 358 when a batch of results was made at once)."""
+    mark = uuid.uuid4().hex
+    monkeypatch.setitem(spark.sparkContext.environment, "WORKERS_OF", mark)  # so that these are new workers
+    df = spark.range(0, 96, 1, 1).select(F.repeat(F.char(F.col("id") % 26 + 65), 1 << 20).cast("binary").alias("p"))
+    units = df.withColumn("u", codecs.compressed(F.col("p"), F.lit(0))).select("p", "u.code", "u.data")
+    back = codecs.decoded_unit(F.col("data"), F.lit(0), F.octet_length("data"), F.octet_length("p"), F.col("code"), F.crc32("data"))
+    assert units.withColumn("b", back).filter("b.status = 'ok' and b.payload = p").count() == 96
+    peaks = []
+    for at in Path("/proc").glob("[0-9]*"):
+        with contextlib.suppress(OSError):
+            if mark.encode() in (at / "environ").read_bytes():
+                peaks.append(int(re.search(r"VmHWM:\s+(\d+)", (at / "status").read_text())[1]) >> 10)
+    assert len(peaks) >= 2 and max(peaks) < 3 * 96, peaks
+
+
 def test_records():
     found = codecs.HEARTBEAT.encode(timestamp_nanos=5, node_id=6, sequence=7)
     assert len(found) == 4096 and codecs.HEARTBEAT.decode(found)["sequence"] == 7
